@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weblens.llm.common import read_table
 from weblens.llm.exact_dedup import exact_groups
+from weblens.llm.quality import score_quality, train_quality
+from weblens.llm.toxicity import score_toxicity, train_lexicon
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return score_quality(documents, train_quality(documents, labels))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return score_toxicity(documents, train_lexicon(documents, labels))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +35,11 @@ FROM documents
 
 
 def queries():
-    return {"op7_exact_dedup": op7_exact_dedup}
+    return {
+        "op1_quality": op1_quality,
+        "op2_toxicity": op2_toxicity,
+        "op7_exact_dedup": op7_exact_dedup,
+    }
 
 
 def oracle_sql():
