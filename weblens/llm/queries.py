@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weblens.llm.common import read_table
 from weblens.llm.exact_dedup import exact_groups
+from weblens.llm.langid import detect_language, train_language
 from weblens.llm.quality import score_quality, train_quality
 from weblens.llm.toxicity import score_toxicity, train_lexicon
 
@@ -20,6 +21,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents, train_lexicon(documents, labels))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return detect_language(documents, train_language(documents))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -38,6 +44,7 @@ def queries():
     return {
         "op1_quality": op1_quality,
         "op2_toxicity": op2_toxicity,
+        "op4_language": op4_language,
         "op7_exact_dedup": op7_exact_dedup,
     }
 
