@@ -31,7 +31,7 @@ SYMBOLS, CHUNKS, DISTANCE = 32, 8, 15
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 512
 _COLUMNS = [f"s{i}" for i in range(CHUNKS)]
-_LOW, _HIGH = 0x7FFF_7FFF_7FFF_7FFF, 0x8000_8000_8000_8000 - 2**64
+_ONES = 0x0001_0001_0001_0001
 
 
 def _signed(documents: DataFrame) -> DataFrame:
@@ -77,8 +77,11 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _distance(a: str, b: str) -> Column:
     def differing(c: str) -> Column:
+        # ORs the bits of each 16-bit place into its lowest bit, and counts those.
         x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
-        return F.bit_count((x.bitwiseAND(F.lit(_LOW)) + F.lit(_LOW)).bitwiseOR(x).bitwiseAND(F.lit(_HIGH)))
+        for shift, mask in ((8, 0x00FF_00FF_00FF_00FF), (4, 0x000F_000F_000F_000F), (2, 0x0003_0003_0003_0003), (1, _ONES)):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
+        return F.bit_count(x)
 
     return reduce(lambda x, y: x + y, (differing(c) for c in _COLUMNS))
 
