@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weblens.llm.common import read_table
 from weblens.llm.exact_dedup import exact_groups
 from weblens.llm.langid import detect_language, train_language
+from weblens.llm.near_dedup import near_components
 from weblens.llm.quality import score_quality, train_quality
 from weblens.llm.toxicity import score_toxicity, train_lexicon
 
@@ -30,6 +31,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(read_table(spark, sf_dir, "documents"))
+
+
 SQL_OP7 = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -46,6 +51,7 @@ def queries():
         "op2_toxicity": op2_toxicity,
         "op4_language": op4_language,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_near_dedup": op8_near_dedup,
     }
 
 
