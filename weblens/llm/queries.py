@@ -9,6 +9,7 @@ from weblens.llm.exact_dedup import exact_groups
 from weblens.llm.langid import detect_language, train_language
 from weblens.llm.near_dedup import near_components
 from weblens.llm.quality import score_quality, train_quality
+from weblens.llm.token_output import token_index
 from weblens.llm.toxicity import score_toxicity, train_lexicon
 
 
@@ -35,6 +36,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(read_table(spark, sf_dir, "documents"))
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_index(read_table(spark, sf_dir, "documents"))
+
+
 SQL_OP7 = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -52,6 +57,7 @@ def queries():
         "op4_language": op4_language,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_near_dedup": op8_near_dedup,
+        "op10_token_output": op10_token_output,
     }
 
 
