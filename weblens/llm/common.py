@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,3 +131,51 @@ def spark_schema(spark: SparkSession, ddl: str):
     from pyspark.sql.types import StructType
 
     return StructType.fromDDL(ddl)
+
+
+def text_test(make: Callable[[], Callable[[list[str]], list[bool]]], most_chars: int = 3_000_000) -> Column:
+    """A boolean column over the text column; nulls count as empty. `make` runs once in each task."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("boolean")
+    def test(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        step = make()
+        for part in parts:
+            texts, out, start, chars = list(part), [], 0, 0
+            for i, text in enumerate(texts):
+                if i > start and chars + len(text) > most_chars:
+                    out += step(texts[start:i])
+                    start, chars = i, 0
+                chars += len(text)
+            yield pd.Series([*out, *(step(texts[start:]) if start < len(texts) else [])], dtype="boolean")
+
+    return test(text_or_empty())
+
+
+#: Bits of the filter of may_be_among, which bounds what it sends to the tasks at 1 MB.
+FILTER_BITS = 1 << 23
+
+
+def may_be_among(ids: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test that holds for every id in ids.column, and for few others while those are some millions at most.
+
+    It is a Bloom filter of fixed size with two hashes, and keeps rows that a join will drop from being shuffled.
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    places = ids.select(
+        F.explode(F.array(*(F.pmod(F.xxhash64(F.lit(k), F.col(column)), F.lit(FILTER_BITS)) for k in (1, 2)))).alias("p")
+    )
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(cast(1 as bigint), cast(p % 64 as int))")).alias("bits")
+    )
+    table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    rows = words.toPandas()
+    table[rows["w"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+
+    @pandas_udf("boolean")
+    def test(first: pd.Series, second: pd.Series) -> pd.Series:
+        a, b = first.to_numpy(dtype=np.int64), second.to_numpy(dtype=np.int64)
+        return pd.Series(((table[a >> 6] >> (a & 63)) & (table[b >> 6] >> (b & 63)) & 1).astype(bool))
+
+    return lambda c: test(*(F.pmod(F.xxhash64(F.lit(k), c), F.lit(FILTER_BITS)) for k in (1, 2)))

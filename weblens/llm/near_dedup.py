@@ -15,6 +15,7 @@ with its nearest, then all that remain within the distance.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -23,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weblens.llm.common import map_rows, materialize, text_or_empty
+from weblens.llm.common import map_rows, materialize, may_be_among, text_or_empty
 from weblens.llm.components import connected_components
 from weblens.llm.shingles import contract_words, minima, sequences
 
 SYMBOLS, CHUNKS, DISTANCE = 32, 8, 15
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 512
+BLOCK = 1024
 _COLUMNS = [f"s{i}" for i in range(CHUNKS)]
+#: What one comparison of members is told apart by.
+_GROUP = ["key", "band", "i", "j"]
 _ONES = 0x0001_0001_0001_0001
 
 
@@ -70,6 +73,7 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
         return step
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    texts = texts.where(may_be_among(wanted, "doc_id")(F.col("doc_id")))
     found = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id)).select("vid", "set_id", "text")
     made = map_rows(found, ["vid", "set_id", "text"], make, "vid long, n long, shingles array<long>")
     return made.dropDuplicates(["vid"])
@@ -87,13 +91,13 @@ def _distance(a: str, b: str) -> Column:
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """(key, vid): each chunk with each of its places left out, which are all ways to allow one error."""
+    """(key, place, vid): each chunk with each of its places left out, which are all ways to allow one error."""
     keys = []
     for i, c in enumerate(_COLUMNS):
         for lane in range(SYMBOLS // CHUNKS):
             mask = (2**64 - 1) ^ (0xFFFF << (16 * lane))
             keys.append(F.xxhash64(F.lit(4 * i + lane), F.col(c).bitwiseAND(F.lit(mask - 2**64 if mask >= 2**63 else mask))))
-    return classes.select(F.explode(F.array(*keys)).alias("key"), "vid")
+    return classes.select(F.posexplode(F.array(*keys)).alias("place", "key"), "vid")
 
 
 def _alike(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -110,26 +114,37 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _compared(rows: DataFrame, nearest: bool, percent: int) -> DataFrame:
-    """(a, b) within DISTANCE of one bucket block in different components; with nearest, one for each member."""
+    """(a, b) within DISTANCE of one bucket block in different components; with nearest, one for each member.
+
+    A pair is taken in the first of the buckets that it shares, and there in the upper one of its size bands.
+    """
     names = rows.columns
-    first = names.index("s0")
+    lanes = SYMBOLS // CHUNKS
 
     def pairs_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
-        key, i, j, block, vid, n, component = data[:7]
-        symbols = np.ascontiguousarray(np.stack(data[first : first + CHUNKS], axis=1)).view(np.uint16)
-        change = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        bounds = np.concatenate([[0], change, [len(key)]])
+        col = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(names)}
+        group = [col[c] for c in _GROUP]
+        vid, n, component, band, own, block = (col[c] for c in ("vid", "n", "component", "band", "own", "block"))
+        symbols = np.ascontiguousarray(np.stack([col[c] for c in _COLUMNS], axis=1)).view(np.uint16)
+        change = np.flatnonzero(np.logical_or.reduce([g[1:] != g[:-1] for g in group])) + 1
+        bounds = np.concatenate([[0], change, [len(vid)]])
         ends = np.repeat(bounds[1:], np.diff(bounds))
-        at, out, step = np.arange(len(key)), [], 1
+        at, out, step = np.arange(len(vid)), [], 1
         while len(at := at[at + step < ends[at]]):
             other = at + step
-            ok = (component[at] != component[other]) & ((i[at] == j[at]) | (block[at] != block[other]))
+            ok = (component[at] != component[other]) & ((col["i"][at] == col["j"][at]) | (block[at] != block[other]))
+            ok &= np.maximum(own[at], own[other]) == band[at]
             ok &= np.minimum(n[at], n[other]) * 100 >= np.maximum(n[at], n[other]) * percent
             x, y = at[ok], other[ok]
             if len(x):
-                apart = (symbols[x] != symbols[y]).sum(axis=1)
-                near = apart <= DISTANCE
+                differ = symbols[x] != symbols[y]
+                apart = differ.sum(axis=1)
+                errors = differ.reshape(-1, CHUNKS, lanes)
+                some = errors.sum(axis=2)
+                chunk = (some <= 1).argmax(axis=1)
+                row = np.arange(len(x))
+                lane = np.where(some[row, chunk] == 1, errors[row, chunk].argmax(axis=1), 0)
+                near = (apart <= DISTANCE) & (chunk * lanes + lane == col["place"][x])
                 out.append(np.stack([x[near], y[near], apart[near]]))
             step += 1
         found = np.concatenate(out, axis=1) if out else np.zeros((3, 0), dtype=np.int64)
@@ -145,8 +160,8 @@ def _compared(rows: DataFrame, nearest: bool, percent: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
         for batch in batches:  # the last group of a batch may go on in the next one
             whole = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0] if held else batch
-            last = [whole.column(k)[whole.num_rows - 1].as_py() for k in range(3)]
-            same = np.logical_and.reduce([whole.column(k).to_numpy() == last[k] for k in range(3)])
+            columns = [whole.column(names.index(c)).to_numpy() for c in _GROUP]
+            same = np.logical_and.reduce([c == c[-1] for c in columns])
             cut = int(np.argmax(same))
             if cut:
                 yield pairs_of(whole.slice(0, cut))
@@ -192,7 +207,7 @@ def _linked(documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     signatures = classes.select("vid", "n", *_COLUMNS)
     keys = _keys(classes)
     buckets = keys.groupBy("key").agg(F.min("vid").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    met = materialize(keys.join(buckets, "key"), "buckets")
+    met = materialize(keys.join(buckets.drop("members"), "key"), "buckets")
     stars = met.where("vid <> leader").select(F.col("vid").alias("a"), F.col("leader").alias("b")).distinct()
     stars = (
         stars.alias("p")
@@ -225,17 +240,26 @@ def _linked(documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
 
 def _open_pairs(met: DataFrame, signatures: DataFrame, components: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs that buckets with members of several components still hold."""
-    rows = met.where("members > 2").select("key", "vid").join(components.withColumnRenamed("id", "vid"), "vid", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "vid"))
-    mixed = rows.groupBy("key").agg(
+    """Pairs that buckets with members of several components still hold.
+
+    Linked sets differ in size by less than one band, so a member joins those of its own band and of the next
+    one, and only a band that still has too many members is dealt into pairs of blocks.
+    """
+    rows = met.select("key", "place", "vid").join(components.withColumnRenamed("id", "vid"), "vid", "left")
+    rows = rows.withColumn("component", F.coalesce("component", "vid")).join(signatures.select("vid", "n"), "vid")
+    width = math.log(100 / percent) * 1.001
+    rows = rows.withColumn("own", F.floor(F.log("n") / width).cast("int"))
+    rows = rows.withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    mixed = rows.groupBy("key", "band").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")
     )
-    mixed = mixed.where("low <> high").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
+    mixed = mixed.where("low <> high").select("key", "band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.drop("n").join(mixed, ["key", "band"])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
-        "key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "vid", "component"
-    )
-    rows = rows.join(signatures, "vid").select("key", "i", "j", "block", "vid", "n", "component", *_COLUMNS)
-    return _compared(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "vid"), nearest, percent)
+        "key", "band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "own", "place",
+        "vid", "component",
+    )
+    rows = rows.join(signatures, "vid")
+    return _compared(rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "vid"), nearest, percent)
