@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weblens.llm import crf
-from weblens.llm.common import held_out, map_rows, training_texts
+from weblens.llm.common import held_out, map_rows, text_test, training_texts
 
 #: Labelled documents that the model learns from at most, chosen by a hash of their ids.
 TRAINING_DOCUMENTS = 3000
@@ -160,16 +160,4 @@ def score_quality(documents: DataFrame, model: QualityModel) -> DataFrame:
 
 def good_documents(documents: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
     """The rows of documents whose quality score is `least` or more, with all their columns."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
-    def quality_of(texts):
-        return _series(model, texts)
-
-    return documents.where(quality_of(F.coalesce(F.col("text").cast("string"), F.lit(""))) >= least)
-
-
-def _series(model: QualityModel, texts):
-    import pandas as pd
-
-    return pd.Series(model.scores(list(texts)))
+    return documents.where(text_test(lambda: lambda texts: (model.scores(texts) >= least).tolist()))
