@@ -8,6 +8,7 @@ from weblens.llm.common import read_table
 from weblens.llm.decontaminate import contaminated
 from weblens.llm.exact_dedup import exact_groups
 from weblens.llm.langid import detect_language, train_language
+from weblens.llm.mixing import mix
 from weblens.llm.near_dedup import near_components
 from weblens.llm.quality import score_quality, train_quality
 from weblens.llm.token_output import token_index
@@ -24,6 +25,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents, train_lexicon(documents, labels))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     return detect_language(documents, train_language(documents))
@@ -79,6 +84,7 @@ def queries():
     return {
         "op1_quality": op1_quality,
         "op2_toxicity": op2_toxicity,
+        "op3_mixing": op3_mixing,
         "op4_language": op4_language,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_near_dedup": op8_near_dedup,
