@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from weblens.llm.common import read_table
 from weblens.llm.decontaminate import contaminated
 from weblens.llm.exact_dedup import exact_groups
+from weblens.llm.html_extract import extract_pages
 from weblens.llm.langid import detect_language, train_language
 from weblens.llm.mixing import mix
 from weblens.llm.near_dedup import near_components
 from weblens.llm.quality import score_quality, train_quality
+from weblens.llm.secrets import scan_secrets
 from weblens.llm.token_output import token_index
 from weblens.llm.toxicity import score_toxicity, train_lexicon
 
@@ -34,6 +36,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_language(documents, train_language(documents))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -86,6 +96,8 @@ def queries():
         "op2_toxicity": op2_toxicity,
         "op3_mixing": op3_mixing,
         "op4_language": op4_language,
+        "op5_secrets": op5_secrets,
+        "op6_html_extraction": op6_html_extraction,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_near_dedup": op8_near_dedup,
         "op9_decontamination": op9_decontamination,
