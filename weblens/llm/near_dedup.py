@@ -6,10 +6,13 @@ chunks; a chunk is looked up once for each allowed place of its error, so all pa
 meet in a bucket. At a Jaccard similarity of 0.85 a pair is farther apart than that with a probability of
 3e-6 (binomial tail, 16 or more of 32 symbols with 0.15 each).
 
-Equal sets are one class from the start. A bucket is not expanded into pairs: its members are tested
-against its leader first, links are confirmed on the full sets, and only buckets that still hold more than one
-component are compared further, in blocks of bounded size, across components only: first each member
-with its nearest, then all that remain within the distance.
+Equal sets are one class from the start. A bucket is not expanded into pairs: blocks of its members of bounded
+size are compared by signature, and each block gives a spanning forest of the pairs within the distance, which has no more
+edges than members. Their connected components, the families, hold all pairs within the distance.
+
+Links are confirmed on full sets inside families, and leave tasks as spanning forests too: first all members
+with the family's smallest one, then, where a family has members that this did not link, blocks of those
+with blocks of all others, across components only.
 """
 
 from __future__ import annotations
@@ -17,11 +20,10 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weblens.llm.common import map_rows, materialize, may_be_among, text_or_empty
@@ -29,12 +31,9 @@ from weblens.llm.components import connected_components
 from weblens.llm.shingles import contract_words, minima, sequences
 
 SYMBOLS, CHUNKS, DISTANCE = 32, 8, 15
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 1024
+#: Members that one comparison takes on either side, and on the wide side of a confirmation.
+BLOCK, WIDE_BLOCK = 1024, 2048
 _COLUMNS = [f"s{i}" for i in range(CHUNKS)]
-#: What one comparison of members is told apart by.
-_GROUP = ["key", "band", "i", "j"]
-_ONES = 0x0001_0001_0001_0001
 
 
 def _signed(documents: DataFrame) -> DataFrame:
@@ -79,97 +78,182 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return made.dropDuplicates(["vid"])
 
 
-def _distance(a: str, b: str) -> Column:
-    def differing(c: str) -> Column:
-        # ORs the bits of each 16-bit place into its lowest bit, and counts those.
-        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
-        for shift, mask in ((8, 0x00FF_00FF_00FF_00FF), (4, 0x000F_000F_000F_000F), (2, 0x0003_0003_0003_0003), (1, _ONES)):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
-        return F.bit_count(x)
-
-    return reduce(lambda x, y: x + y, (differing(c) for c in _COLUMNS))
-
-
 def _keys(classes: DataFrame) -> DataFrame:
-    """(key, place, vid): each chunk with each of its places left out, which are all ways to allow one error."""
+    """(key, vid): each chunk with each of its places left out, which are all ways to allow one error."""
     keys = []
     for i, c in enumerate(_COLUMNS):
         for lane in range(SYMBOLS // CHUNKS):
             mask = (2**64 - 1) ^ (0xFFFF << (16 * lane))
             keys.append(F.xxhash64(F.lit(4 * i + lane), F.col(c).bitwiseAND(F.lit(mask - 2**64 if mask >= 2**63 else mask))))
-    return classes.select(F.posexplode(F.array(*keys)).alias("place", "key"), "vid")
+    return classes.select(F.explode(F.array(*keys)).alias("key"), "vid")
+
+
+def _grouped(names: list[str], group: list[str], work):
+    """A function for mapInArrow over rows that are sorted by `group`: `work` gets whole groups, several at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # the last group of a batch may go on in the next one
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            last = [batch.column(names.index(c))[batch.num_rows - 1].as_py() for c in group]
+            first = [held[0].column(names.index(c))[0].as_py() for c in group]
+            if first == last:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            columns = [whole.column(names.index(c)).to_numpy() for c in group]
+            cut = int(np.argmax(np.logical_and.reduce([c == v for c, v in zip(columns, last, strict=True)])))
+            yield work(whole.slice(0, cut))
+            held = [whole.slice(cut)]
+        if held:
+            yield work(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-def _alike(n_a: Column, n_b: Column, percent: int) -> Column:
-    return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+    return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are as similar as asked for."""
-    of_a = sets.select(F.col("vid").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("of_a"))
-    of_b = sets.select(F.col("vid").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("of_b"))
-    both = pairs.select("a", "b").join(of_a, "a").join(of_b, "b")
-    both = both.withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
-    return both.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b")
+def _edges(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _compared(rows: DataFrame, nearest: bool, percent: int) -> DataFrame:
-    """(a, b) within DISTANCE of one bucket block in different components; with nearest, one for each member.
+class _Forest:
+    """Union-find whose labels are kept flat, so that whole arrays of pairs can be tested at once."""
 
-    A pair is taken in the first of the buckets that it shares, and there in the upper one of its size bands.
+    def __init__(self, labels: np.ndarray):
+        self.up = labels.astype(np.int64)
+        self.taken: tuple[list[int], list[int]] = ([], [])
+
+    def _root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = int(self.up[x])
+        return x
+
+    def add(self, xs: np.ndarray, ys: np.ndarray) -> None:
+        for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+            p, q = self._root(x), self._root(y)
+            if p != q:
+                self.up[max(p, q)] = min(p, q)
+                self.taken[0].append(x)
+                self.taken[1].append(y)
+        while (self.up[self.up] != self.up).any():
+            self.up = self.up[self.up]
+
+
+def _families(met: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """(vid, family) of all classes that have another one within DISTANCE.
+
+    Linked sets differ in size by less than one band, so a member joins those of its own band and of the next
+    one, and only a band that still has too many members is dealt into pairs of blocks.
     """
+    width = math.log(100 / percent) * 1.001
+    rows = met.join(signatures.select("vid", F.floor(F.log("n") / width).cast("int").alias("own")), "vid")
+    rows = rows.withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    many = rows.groupBy("key", "band").agg(F.count("*").alias("members")).where("members > 1")
+    many = many.select("key", "band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(many, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(
+        "key", "band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "own", "vid"
+    )
+    group = ["key", "band", "i", "j"]
+    rows = rows.join(signatures, "vid").repartition(*group).sortWithinPartitions(*group, "vid")
     names = rows.columns
-    lanes = SYMBOLS // CHUNKS
 
-    def pairs_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def near_forest(batch: pa.RecordBatch) -> pa.RecordBatch:
         col = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(names)}
-        group = [col[c] for c in _GROUP]
-        vid, n, component, band, own, block = (col[c] for c in ("vid", "n", "component", "band", "own", "block"))
+        vid, n, band, own, block, i, j = (col[c] for c in ("vid", "n", "band", "own", "block", "i", "j"))
         symbols = np.ascontiguousarray(np.stack([col[c] for c in _COLUMNS], axis=1)).view(np.uint16)
-        change = np.flatnonzero(np.logical_or.reduce([g[1:] != g[:-1] for g in group])) + 1
+        change = np.flatnonzero(np.logical_or.reduce([col[c][1:] != col[c][:-1] for c in group])) + 1
         bounds = np.concatenate([[0], change, [len(vid)]])
         ends = np.repeat(bounds[1:], np.diff(bounds))
-        at, out, step = np.arange(len(vid)), [], 1
+        forest, at, step = _Forest(np.arange(len(vid))), np.arange(len(vid)), 1
         while len(at := at[at + step < ends[at]]):
             other = at + step
-            ok = (component[at] != component[other]) & ((col["i"][at] == col["j"][at]) | (block[at] != block[other]))
+            ok = (forest.up[at] != forest.up[other]) & ((i[at] == j[at]) | (block[at] != block[other]))
             ok &= np.maximum(own[at], own[other]) == band[at]
             ok &= np.minimum(n[at], n[other]) * 100 >= np.maximum(n[at], n[other]) * percent
             x, y = at[ok], other[ok]
             if len(x):
-                differ = symbols[x] != symbols[y]
-                apart = differ.sum(axis=1)
-                errors = differ.reshape(-1, CHUNKS, lanes)
-                some = errors.sum(axis=2)
-                chunk = (some <= 1).argmax(axis=1)
-                row = np.arange(len(x))
-                lane = np.where(some[row, chunk] == 1, errors[row, chunk].argmax(axis=1), 0)
-                near = (apart <= DISTANCE) & (chunk * lanes + lane == col["place"][x])
-                out.append(np.stack([x[near], y[near], apart[near]]))
+                near = (symbols[x] != symbols[y]).sum(axis=1) <= DISTANCE
+                if near.any():
+                    forest.add(x[near], y[near])
             step += 1
-        found = np.concatenate(out, axis=1) if out else np.zeros((3, 0), dtype=np.int64)
-        if nearest and found.shape[1]:
-            sides = np.concatenate([found, found[[1, 0, 2]]], axis=1)
-            order = np.lexsort((vid[sides[1]], sides[2], sides[0]))
-            sides = sides[:, order]
-            found = sides[:, np.concatenate([[True], sides[0, 1:] != sides[0, :-1]])]
-        a, b = vid[found[0].astype(np.int64)], vid[found[1].astype(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+        return _edges(vid[forest.taken[0]].tolist(), vid[forest.taken[1]].tolist())
+
+    edges = rows.mapInArrow(_grouped(names, group, near_forest), "a long, b long")
+    return connected_components(edges).select(F.col("id").alias("vid"), F.col("component").alias("family"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:  # the last group of a batch may go on in the next one
-            whole = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0] if held else batch
-            columns = [whole.column(names.index(c)).to_numpy() for c in _GROUP]
-            same = np.logical_and.reduce([c == c[-1] for c in columns])
-            cut = int(np.argmax(same))
-            if cut:
-                yield pairs_of(whole.slice(0, cut))
-            held = [whole.slice(cut)]
-        if held:
-            yield pairs_of(held[0])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that span the links of sets(vid, n, shingles, family)."""
+    first = sets.where("vid = family").select(
+        "family", F.col("n").alias("n_first"), F.col("shingles").alias("of_first")
+    )
+    both = sets.where("vid <> family").join(first, "family")
+    common = F.size(F.array_intersect("shingles", "of_first"))
+    both = both.select("vid", "family", "n", "n_first", common.alias("common"))
+    union = F.col("n") + F.col("n_first") - F.col("common")
+    stars = materialize(both.select("vid", "family", (F.col("common") * 100 >= union * percent).alias("linked")), "stars")
+    # Members that their family's first one is not linked with, in blocks, with blocks of all its members.
+    apart = stars.where("not linked").select("vid", F.lit(True).alias("apart"))
+    sizes = stars.groupBy("family").agg(
+        F.ceil(F.sum(F.when(F.col("linked"), 0).otherwise(1)) / BLOCK).cast("int").alias("p_blocks"),
+        F.ceil((F.count("*") + 1) / WIDE_BLOCK).cast("int").alias("q_blocks"),
+    )
+    rows = sets.join(sizes.where("p_blocks > 0"), "family").join(apart, "vid", "left")
+    rows = rows.withColumn("apart", F.coalesce("apart", F.lit(False)))
+    turn = F.xxhash64("vid")
+    p, q = (F.pmod(turn, F.col(f"{k}_blocks")).cast("int") for k in "pq")
+    some = F.transform(F.sequence(F.lit(0), F.col("p_blocks") - 1), lambda k: F.struct(k.alias("p"), q.alias("q"), F.lit(0).alias("side")))
+    other = F.transform(F.sequence(F.lit(0), F.col("q_blocks") - 1), lambda k: F.struct(p.alias("p"), k.alias("q"), F.lit(1).alias("side")))
+    dealt = rows.withColumn("to", F.explode(F.when(F.col("apart"), F.concat(some, other)).otherwise(some)))
+    dealt = dealt.select("family", "to.p", "to.q", "to.side", "vid", "n", "apart", "shingles")
+    group = ["family", "p", "q"]
+    dealt = dealt.repartition(*group).sortWithinPartitions(*group, "side", "n", "vid")
+    names = dealt.columns
+
+    def link_forest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = [], []
+        col = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(names) if c != "shingles"}
+        lists = batch.column(names.index("shingles"))
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        change = np.flatnonzero(np.logical_or.reduce([col[c][1:] != col[c][:-1] for c in group])) + 1
+        bounds = np.concatenate([[0], change, [batch.num_rows]])
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            base = offsets[lo]
+            _, ids = np.unique(flat[base : offsets[hi]], return_inverse=True)
+            cut = offsets[lo : hi + 1] - base
+            n, vid, apart = col["n"][lo:hi], col["vid"][lo:hi], col["apart"][lo:hi]
+            middle = int(np.searchsorted(col["side"][lo:hi], 1))  # wide side first, then the members to test
+            # The members that the first one is linked with are one component already.
+            linked = np.flatnonzero(~apart[:middle])
+            labels = np.arange(hi - lo)
+            labels[linked] = linked[0] if len(linked) else 0
+            places = {int(v): k for k, v in enumerate(vid[:middle])}
+            for k in range(middle, hi - lo):  # a member that is on both sides
+                labels[k] = places.get(int(vid[k]), k)
+            forest = _Forest(labels)
+            marked = np.zeros(len(ids), dtype=bool)
+            for x in range(middle, hi - lo):
+                y0 = int(np.searchsorted(n[:middle] * 100, n[x] * percent, side="left"))
+                y1 = int(np.searchsorted(n[:middle] * percent, n[x] * 100, side="right"))
+                if y0 >= y1 or not (forest.up[y0:y1] != forest.up[x]).any():
+                    continue
+                own = ids[cut[x] : cut[x + 1]]
+                marked[own] = True
+                common = np.add.reduceat(marked[ids[cut[y0] : cut[y1]]], cut[y0:y1] - cut[y0], dtype=np.int64)
+                marked[own] = False
+                ok = (common * 100 >= (n[x] + n[y0:y1] - common) * percent) & (forest.up[y0:y1] != forest.up[x])
+                if ok.any():
+                    ys = np.flatnonzero(ok) + y0
+                    forest.add(np.full(len(ys), x), ys)
+            a += vid[forest.taken[0]].tolist()
+            b += vid[forest.taken[1]].tolist()
+        return _edges(a, b)
+
+    more = dealt.mapInArrow(_grouped(names, group, link_forest), "a long, b long")
+    return stars.where("linked").select(F.col("vid").alias("a"), F.col("family").alias("b")).unionByName(more)
 
 
 def near_components(documents: DataFrame, percent: int = 85) -> DataFrame:
@@ -206,60 +290,8 @@ def _linked(documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     """(id, component) of the classes that have a link."""
     signatures = classes.select("vid", "n", *_COLUMNS)
     keys = _keys(classes)
-    buckets = keys.groupBy("key").agg(F.min("vid").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    met = materialize(keys.join(buckets.drop("members"), "key"), "buckets")
-    stars = met.where("vid <> leader").select(F.col("vid").alias("a"), F.col("leader").alias("b")).distinct()
-    stars = (
-        stars.alias("p")
-        .join(signatures.alias("x"), F.col("p.a") == F.col("x.vid"))
-        .join(signatures.alias("y"), F.col("p.b") == F.col("y.vid"))
-        .where((_distance("x", "y") <= DISTANCE) & _alike(F.col("x.n"), F.col("y.n"), percent))
-        .groupBy("p.a")
-        .agg(F.min("p.b").alias("b"))
-    )
-    stars = materialize(stars, "stars")
-    tested, links = stars, None
-    sets = None
-    known = None
-    for sweep in ("stars", "nearest", "all"):
-        wanted = tested.select(F.explode(F.array("a", "b")).alias("vid")).distinct()
-        if known is not None:
-            wanted = wanted.join(known, "vid", "left_anti")
-        more = materialize(_sets(documents, wanted.join(classes.select("vid", "doc_id", "set_id"), "vid")), "sets")
-        sets = more if sets is None else sets.unionByName(more)
-        known = sets.select("vid")
-        found = materialize(_confirmed(tested, sets, percent), "confirmed")
-        links = found if links is None else links.unionByName(found)
-        components = connected_components(links)
-        if sweep == "all":
-            break
-        tested = materialize(_open_pairs(met, signatures, components, percent, sweep == "stars"), "open-pairs")
-        if tested.isEmpty():
-            break
-    return components
-
-
-def _open_pairs(met: DataFrame, signatures: DataFrame, components: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs that buckets with members of several components still hold.
-
-    Linked sets differ in size by less than one band, so a member joins those of its own band and of the next
-    one, and only a band that still has too many members is dealt into pairs of blocks.
-    """
-    rows = met.select("key", "place", "vid").join(components.withColumnRenamed("id", "vid"), "vid", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "vid")).join(signatures.select("vid", "n"), "vid")
-    width = math.log(100 / percent) * 1.001
-    rows = rows.withColumn("own", F.floor(F.log("n") / width).cast("int"))
-    rows = rows.withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-    mixed = rows.groupBy("key", "band").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")
-    )
-    mixed = mixed.where("low <> high").select("key", "band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.drop("n").join(mixed, ["key", "band"])
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        "key", "band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "own", "place",
-        "vid", "component",
-    )
-    rows = rows.join(signatures, "vid")
-    return _compared(rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "vid"), nearest, percent)
+    buckets = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    families = materialize(_families(keys.join(buckets, "key"), signatures, percent), "families")
+    wanted = families.join(classes.select("vid", "doc_id", "set_id"), "vid")
+    sets = materialize(_sets(documents, wanted.select("vid", "doc_id", "set_id")).join(families, "vid"), "sets")
+    return connected_components(_links(sets, percent))
