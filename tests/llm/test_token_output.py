@@ -83,3 +83,12 @@ def test_files_round_trip(spark, tmp_path, plain):
 def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_index(docs, folder=f"file://{tmp_path}/none").collect() == []
+
+
+def test_generations_of_pieces(plain, monkeypatch):
+    monkeypatch.setattr("weblens.llm.token_output.KEPT_PIECES", 20)
+    encoder = Encoder(default_tokenizer())
+    for k in range(12):
+        texts = [f"start w{k % 5} word{k} again, la\nend{k} la." for _ in range(3)]
+        for text, ids in zip(texts, encoder.ids(texts), strict=True):
+            assert np.frombuffer(ids, encoder.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids + [0]

@@ -14,6 +14,7 @@ a document is a select in `ends`; no table of 64-bit offsets exists.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import struct
@@ -76,8 +77,6 @@ class Encoder:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.kept) > KEPT_PIECES:
-            self.kept, self.before = {}, self.kept
         ask: dict[str, str] = {}
         marked: list[tuple[str, str, str]] = []
         for piece in new:
@@ -105,6 +104,8 @@ class Encoder:
         """The ids of each text and the end id after them."""
         if not self.by_piece:
             return [ids + self.end for ids in self._encode(texts)]
+        if len(self.kept) > KEPT_PIECES:
+            self.kept, self.before = {}, self.kept
         pieces = [_pieces(t) for t in texts]
         new = set().union(*pieces) - self.kept.keys()
         if new:
@@ -123,6 +124,12 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker, with the pieces that it knows."""
+    return Encoder(path)
+
+
 def _pieces(text: str) -> list[str]:
     """Blank-separated pieces; one after a newline starts with it, and the first one starts with "\\0"."""
     if not text:
@@ -145,7 +152,7 @@ def encode_documents(documents: DataFrame, tokenizer: str, bounds: list[int]) ->
     cuts = np.array(bounds, dtype=np.int64)
 
     def make():
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
 
         def step(rows):
             ids = encoder.ids([t or "" for t in rows["text"]])
