@@ -2,7 +2,7 @@ import random
 import re
 
 from weblens.llm.components import connected_components
-from weblens.llm.near_dedup import near_components
+from weblens.llm.near_dedup import near_components, one_of_each
 
 
 def shingles(text):
@@ -77,7 +77,7 @@ def test_large_groups_in_small_blocks(spark, monkeypatch):
         for _ in range(rng.choice([0, 1, 2, 3, 4])):
             copy[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
         rows.append((k, " ".join(copy)))
-    got = near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = near_components(spark.createDataFrame(rows, "doc_id long, text string")).drop("text_hash").collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
@@ -96,5 +96,38 @@ def test_components(spark):
     assert {r["id"]: r["component"] for r in got} == {x: c for x, c in up.items() if any(x in e and e[0] != e[1] for e in links)}
 
 
+def test_one_of_each(spark):
+    rows = families(3) + [(5000, None), (5001, ""), (6000, "one two"), (6000, "one two"), (0, "the same id but another text")]
+    table = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept string")
+    got = one_of_each(table)
+    assert got.columns == table.columns
+    want = {(d, t) for (d, t), c in zip(rows, [x for x in _components(rows)], strict=True) if d == c}
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def _components(rows):
+    of = {}
+    for d, n, c, k in [tuple(x) for x in brute_in_order(rows)]:
+        of.setdefault(d, []).append(c)
+    return [of[d].pop(0) for d, _ in rows]
+
+
+def brute_in_order(rows):
+    tagged = [(k, t) for k, (_, t) in enumerate(rows)]
+    return [(d, *_one(rows, tagged, k)) for k, (d, _) in enumerate(rows)]
+
+
+_MEMO = {}
+
+
+def _one(rows, tagged, k):
+    if id(rows) not in _MEMO:
+        _MEMO[id(rows)] = {d: (n, c) for d, n, c, _ in brute(tagged)}
+    n, c = _MEMO[id(rows)][k]
+    members = [i for i in range(len(rows)) if _MEMO[id(rows)][i][1] == c]
+    least = min(rows[i][0] for i in members) if n else rows[k][0]
+    return n, least, least == rows[k][0]
+
+
 def test_empty(spark):
     assert near_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -37,7 +37,7 @@ _COLUMNS = [f"s{i}" for i in range(CHUNKS)]
 
 
 def _signed(documents: DataFrame) -> DataFrame:
-    """(doc_id, n, set_id, s0..s7) of every row; four 16-bit symbols in each s."""
+    """(doc_id, text_hash, n, set_id, s0..s7) of every row; four 16-bit symbols in each s."""
 
     def make():
         def step(rows):
@@ -47,6 +47,7 @@ def _signed(documents: DataFrame) -> DataFrame:
             words = symbols.view("<i8")
             return {
                 "doc_id": rows["doc_id"],
+                "text_hash": rows["text_hash"],
                 "n": [len(s) for s in sets],
                 "set_id": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                 **{c: words[:, i] for i, c in enumerate(_COLUMNS)},
@@ -54,8 +55,11 @@ def _signed(documents: DataFrame) -> DataFrame:
 
         return step
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return map_rows(texts, ["doc_id", "text"], make, "doc_id long, n long, set_id binary, " + ", ".join(f"{c} long" for c in _COLUMNS))
+    texts = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text")
+    )
+    schema = "doc_id long, text_hash long, n long, set_id binary, " + ", ".join(f"{c} long" for c in _COLUMNS)
+    return map_rows(texts, ["doc_id", "text_hash", "text"], make, schema)
 
 
 def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -257,7 +261,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_components(documents: DataFrame, percent: int = 85) -> DataFrame:
-    """One row for each row of documents: doc_id, n_shingles, component_id, kept.
+    """One row for each row of documents: doc_id, n_shingles, component_id, kept, text_hash.
 
     Two documents are linked when 100 * |A & B| >= percent * |A | B| for their shingle sets. A text without
     words has an empty set and is linked with nothing: its component is its own id. component_id is the
@@ -276,14 +280,44 @@ def near_components(documents: DataFrame, percent: int = 85) -> DataFrame:
     named = named.select("set_id", "doc_id", F.coalesce("component", "vid").alias("component"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = materialize(named.join(smallest, "component").select("set_id", "component_id"), "named-sets")
-    linked = full.select("doc_id", "n", "set_id").join(named, "set_id").select("doc_id", "n", "component_id")
-    alone = signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    linked = full.select("doc_id", "text_hash", "n", "set_id").join(named, "set_id").drop("set_id")
+    alone = signed.where("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+        "text_hash",
+    )
+
+
+def one_of_each(documents: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of documents that near_components keeps, with all their columns; of rows that agree in id and text, one.
+
+    Most texts stay where they are: only those that a filter of fixed size takes for dropped ones are shuffled
+    to be joined.
+    """
+    rows = materialize(near_components(documents, percent).select("doc_id", "text_hash", "kept"), "kept")
+    again = rows.where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1")
+    gone = materialize(
+        rows.where("not kept").select("doc_id", "text_hash", F.lit(False).alias("again")).distinct().unionByName(
+            again.select("doc_id", "text_hash", F.lit(True).alias("again"))
+        ),
+        "dropped",
+    )
+    if gone.isEmpty():
+        return documents
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+    held = documents.withColumn("_text_hash", F.xxhash64(text_or_empty()))
+    maybe = may_be_among(gone.select(key.alias("k")), "k")(key)
+    sure, asked = held.where(~maybe), held.where(maybe)
+    g = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("again").alias("_again"))
+    found = asked.join(
+        g, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left"
     )
+    once = found.where("_again").dropDuplicates(["doc_id", "_text_hash"])
+    out = [*documents.columns]
+    return sure.select(*out).unionByName(found.where("_again is null").select(*out)).unionByName(once.select(*out))
 
 
 def _linked(documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame:

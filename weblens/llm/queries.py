@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from weblens.llm.common import read_table
@@ -102,6 +103,7 @@ def queries():
         "op8_near_dedup": op8_near_dedup,
         "op9_decontamination": op9_decontamination,
         "op10_token_output": op10_token_output,
+        "pipeline": corpus_pipeline.run,
     }
 
 
