@@ -228,7 +228,9 @@ def _pieces(placed: DataFrame, plan: MixPlan) -> DataFrame:
         "words", F.least(end, (F.col("block") + 1) * size) - F.greatest(F.col("start"), F.col("block") * size)
     )
     slots = _slots(placed, plan).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    return parts.join(slots, ["sid", "block"]).select("sid", "start", "block", "words", "times")
+    # The plan takes the slots for small, because it sees the shard numbers that they are made from.
+    joined = parts.hint("merge").join(slots.hint("merge"), ["sid", "block"])
+    return joined.select("sid", "start", "block", "words", "times")
 
 
 def mix(documents: DataFrame) -> DataFrame:
