@@ -88,6 +88,21 @@ def training_texts(documents: DataFrame, labels: DataFrame, label: str, limit: i
     return [(r["t"], of[r["k"]]) for r in sorted(rows.collect(), key=lambda r: (r["k"], r["t"]))]
 
 
+#: Caches of this Python worker: owner -> what empties it.
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def keep_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Tell that `owner` keeps something between the tasks of a Python worker."""
+    _CACHES[owner] = clear
+
+
+def release_caches(*owners: str) -> None:
+    """Empty the caches of all but `owners`: a worker serves the tasks of many stages, one after the other."""
+    for other in [o for o in _CACHES if o not in owners]:
+        _CACHES.pop(other)()
+
+
 def map_rows(
     df: DataFrame,
     columns: list[str],
@@ -105,8 +120,10 @@ def map_rows(
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(spark_schema(df.sparkSession, schema))
+    owner = make.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches(owner)
         step = make()
         for batch in batches:
             sizes = pc.binary_length(batch.column(columns.index(text))).fill_null(0).to_pylist()
@@ -137,8 +154,11 @@ def text_test(make: Callable[[], Callable[[list[str]], list[bool]]], most_chars:
     """A boolean column over the text column; nulls count as empty. `make` runs once in each task."""
     from pyspark.sql.functions import pandas_udf
 
+    owner = make.__module__
+
     @pandas_udf("boolean")
     def test(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release_caches(owner)
         step = make()
         for part in parts:
             texts, out, start, chars = list(part), [], 0, 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weblens.llm.common import map_rows, materialize, may_be_among, text_or_empty
+from weblens.llm.common import map_rows, materialize, may_be_among, release_caches, text_or_empty
 from weblens.llm.components import connected_components
 from weblens.llm.shingles import contract_words, minima, sequences
 
@@ -96,6 +96,7 @@ def _grouped(names: list[str], group: list[str], work):
     """A function for mapInArrow over rows that are sorted by `group`: `work` gets whole groups, several at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         held: list[pa.RecordBatch] = []
         for batch in batches:  # the last group of a batch may go on in the next one
             if not batch.num_rows:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from weblens.llm.common import keep_cache
+
 SHINGLE_WORDS = 5
 #: Hashed words that a task keeps at most; then it starts again.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -15,8 +17,9 @@ _TURN = np.uint64(0xC2B2AE3D27D4EB4F)
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
+        if len(self) >= KEPT_WORDS or not self:
             self.clear()
+            keep_cache("weblens.llm.near_dedup", self.clear)
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
 

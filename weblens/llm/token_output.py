@@ -20,6 +20,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +29,15 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weblens.llm.common import map_rows, materialize, shared_dir, text_or_empty
+from weblens.llm.common import keep_cache, map_rows, materialize, release_caches, shared_dir, text_or_empty
 from weblens.llm.elias_fano import EliasFano
 
 MAGIC = b"WLTOKEN1"
 _TRAILER = struct.Struct("<8sB7xQQQqQQ")
 END_ID = 0
 #: Pieces of text whose ids a task keeps at most, in each of two generations.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 800_000
+_MARKS = {c: "\0" + c for c in ".,;:!?"}
 
 
 def default_tokenizer() -> str:
@@ -68,37 +70,44 @@ class Encoder:
         self.special = [t["content"] for t in config.get("added_tokens", [])]
         largest = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         self.dtype = np.dtype("<u2" if largest < 65_536 else "<u4")
+        self.code = {a.itemsize: a.typecode for a in map(array, "HIL")}[self.dtype.itemsize]
         self.end = np.array([END_ID], dtype=self.dtype).tobytes()
         self.kept: dict[str, bytes | None] = {}
         self.before: dict[str, bytes | None] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+        return [array(self.code, e.ids).tobytes() for e in found]
 
     def _learn(self, new: set[str]) -> None:
+        kept, before = self.kept, self.before
         ask: dict[str, str] = {}
         marked: list[tuple[str, str, str]] = []
         for piece in new:
-            if piece in self.before:
-                self.kept[piece] = self.before[piece]
-                continue
-            body = piece[1:] if piece[:1] in ("\0", "\n") else piece
-            if not body or any(map(str.isspace, body)) or any(s in body for s in self.special):
-                self.kept[piece] = None
-            elif body is piece and (base := piece[:-1]).isalpha() and piece[-1] in ".,;:!?" and max(base) < "\u0530":
+            known = before.get(piece)
+            if known is not None:
+                kept[piece] = known
+            elif piece.isalpha():
+                ask[piece] = " " + piece
+            elif piece[-1:] in _MARKS and (base := piece[:-1]).isalpha() and max(base) < "\u0530":
                 # A mark after letters is a pre-token of its own.
-                marked.append((piece, base, "\0" + piece[-1]))
-                ask[base], ask["\0" + piece[-1]] = " " + base, piece[-1]
+                mark = _MARKS[piece[-1]]
+                marked.append((piece, base, mark))
+                for part, text in ((base, " " + base), (mark, piece[-1])):
+                    if part not in kept:
+                        if part in before:
+                            kept[part] = before[part]
+                        else:
+                            ask[part] = text
             else:
-                ask[piece] = " " + piece if body is piece else piece if piece[0] == "\n" else body
-        missing = [p for p in ask if p not in self.kept and p not in self.before]
-        self.kept.update(zip(missing, self._encode([ask[p] for p in missing]), strict=True))
-        for piece in ask:
-            if piece not in self.kept:
-                self.kept[piece] = self.before[piece]
+                body = piece[1:] if piece[:1] in ("\0", "\n") else piece
+                if not body or any(map(str.isspace, body)) or any(s in body for s in self.special):
+                    kept[piece] = None
+                else:
+                    ask[piece] = " " + piece if body is piece else piece if piece[0] == "\n" else body
+        kept.update(zip(ask, self._encode(list(ask.values())), strict=True))
         for piece, base, mark in marked:
-            self.kept[piece] = self.kept[base] + self.kept[mark]
+            kept[piece] = kept[base] + kept[mark]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id after them."""
@@ -126,7 +135,8 @@ class Encoder:
 
 @functools.lru_cache(maxsize=2)
 def encoder_of(path: str) -> Encoder:
-    """One encoder for all tasks of a Python worker, with the pieces that it knows."""
+    """One encoder for the tasks of a Python worker, with the pieces that it knows, until another operator's tasks come."""
+    keep_cache(__name__, encoder_of.cache_clear)
     return Encoder(path)
 
 
@@ -183,6 +193,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str | None = None
     wide = Encoder(tokenizer).dtype.itemsize
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         writer = None
         for batch in batches:
             for bucket, doc_id, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
