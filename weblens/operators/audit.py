@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from weblens.config import Settings
 from weblens.functions import text as T
-from weblens.functions import urls as U
 from weblens.operators.rules import GROUPS, PAGE_RULES, SEVERITIES, category_of, grade, penalty, score, severity_of, severity_rank
 
 #: Examples that an issue's value lists.
@@ -24,11 +23,11 @@ def _checks(s: Settings, rendering: bool) -> dict[str, tuple[Column, Column, Col
     """code -> (fires, count, value as JSON text) for every page rule."""
     one, none = F.lit(1), F.lit(None).cast("string")
     unique = F.filter("links", lambda x: ~x["is_duplicate"])
-    title, description, url = F.col("title_length"), F.col("meta_description_length"), F.col("url")
+    title, description = F.col("title_length"), F.col("meta_description_length")
     canonical = F.col("canonical_absolute_url")
     known = F.coalesce(F.col("canonical"), F.lit("")) != ""
-    web = U.is_web_url(canonical)
-    private = U.is_private_host(U.host(canonical))
+    to = F.col("canonical_target")
+    web, private = to["web"], to["private"]
     listed = lambda items: F.to_json(F.slice(items, 1, EXAMPLES))
     of = lambda items: (F.size(items) > 0, F.size(items), listed(items))
 
@@ -37,8 +36,8 @@ def _checks(s: Settings, rendering: bool) -> dict[str, tuple[Column, Column, Col
         F.transform("headings", lambda h, i: F.struct(h["level"].alias("level"), F.coalesce(F.get(levels, i - 1), F.lit(9)).alias("before"))),
         lambda h: h["level"] > h["before"] + 1,
     )
-    bad = lambda h: ~F.coalesce(T.valid_hreflang(h["lang"]), F.lit(False)) | ~U.is_web_url(h["absolute_url"])
-    inner = lambda h: U.is_private_host(U.host(h["absolute_url"]))
+    bad = lambda h: ~F.coalesce(T.valid_hreflang(h["lang"]), F.lit(False)) | ~h["web"]
+    inner = lambda h: h["private"]
     langs = F.transform("hreflang", lambda h: F.lower(h["lang"]))
     repeated = F.array_sort(F.array_distinct(F.filter(langs, lambda v: F.size(F.filter(langs, lambda w: w == v)) > 1)))
     low = F.col("main_content_confidence") == "low"
@@ -58,11 +57,11 @@ def _checks(s: Settings, rendering: bool) -> dict[str, tuple[Column, Column, Col
         "CANONICAL_MISSING": (~known, one, none),
         "CANONICAL_INVALID": (known & ~web, one, F.col("canonical")),
         "CANONICAL_PRIVATE_IP": (known & web & private, one, canonical),
-        "CANONICAL_DOMAIN_MISMATCH": (known & web & ~private & ~U.same_site(canonical, url), one, canonical),
-        "CANONICAL_HTTP_WHEN_PAGE_HTTPS": (known & web & (F.col("scheme") == "https") & (U.scheme(canonical) == "http"), one, canonical),
+        "CANONICAL_DOMAIN_MISMATCH": (known & web & ~private & ~to["same_site"], one, canonical),
+        "CANONICAL_HTTP_WHEN_PAGE_HTTPS": (known & web & (F.col("scheme") == "https") & (to["scheme"] == "http"), one, canonical),
         "HREFLANG_INVALID": of(F.filter("hreflang", bad)),
         "HREFLANG_PRIVATE_IP": of(F.filter("hreflang", lambda h: ~bad(h) & inner(h))),
-        "HREFLANG_DOMAIN_MISMATCH": of(F.filter("hreflang", lambda h: ~bad(h) & ~inner(h) & ~U.same_site(h["absolute_url"], url))),
+        "HREFLANG_DOMAIN_MISMATCH": of(F.filter("hreflang", lambda h: ~bad(h) & ~inner(h) & ~h["same_site"])),
         "HREFLANG_DUPLICATE_LANGUAGE": of(repeated),
         "IMAGE_ALT_MISSING": of(F.filter("images", lambda i: i["alt"].isNull())),
         "EMPTY_LINK": of(F.filter(unique, lambda x: x["text"] == "")),

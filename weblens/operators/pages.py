@@ -21,43 +21,18 @@ def page_links(parsed: DataFrame, key: str = "page_id") -> DataFrame:
 
     A link repeats an earlier one of its page when type, normalized target and case-folded text agree.
     """
-    rows = parsed.select(key, "base_url", F.posexplode("raw_links").alias("pos", "link")).select(key, "base_url", "pos", "link.*")
-    rows = rows.withColumn("type", U.classify_link(F.col("base_url"), F.col("href"), F.col("absolute_url")))
-    target = F.when(F.col("type").isin("internal", "external"), U.normalize(F.col("absolute_url"))).otherwise(F.col("href"))
-    again = Window.partitionBy(key, "type", target, F.lower("text")).orderBy("pos")
-    return rows.withColumn("is_duplicate", F.row_number().over(again) > 1).drop("base_url")
+    return parsed.select(key, F.posexplode("links").alias("pos", "link")).select(key, "pos", "link.*")
 
 
 def parse_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """One wide row per page with all extracted fields, links and counts. Links never leave their row."""
     parsed = parse_raw(pages, key)
-    typed = F.transform(
-        "raw_links",
-        lambda x: F.struct(
-            *(x[f].alias(f) for f in ("href", "absolute_url", "text", "nofollow", "location")),
-            U.classify_link(F.col("base_url"), x["href"], x["absolute_url"]).alias("type"),
-        ),
-    )
-    parsed = parsed.withColumn("_typed", typed)
-    keyed = F.transform(
-        "_typed",
-        lambda x: F.struct(
-            x["type"].alias("a"),
-            F.when(x["type"].isin("internal", "external"), U.normalize(x["absolute_url"])).otherwise(x["href"]).alias("b"),
-            F.lower(x["text"]).alias("c"),
-        ),
-    )
-    parsed = parsed.withColumn("_keys", keyed)
-    links = F.transform(
-        "_typed", lambda x, i: x.withField("is_duplicate", F.array_position("_keys", F.element_at("_keys", i + 1)) <= i)
-    )
-    parsed = parsed.withColumn("links", links).drop("_typed", "_keys", "raw_links")
     unique = F.filter("links", lambda x: ~x["is_duplicate"])
     level = lambda k: F.transform(F.filter("headings", lambda h: h["level"] == k), lambda h: h["text"])
     count = lambda test: F.size(F.filter(unique, test))
     of_type = lambda k: count(lambda x: x["type"] == k)
     images = lambda test: F.size(F.filter("images", test))
-    robots = F.transform(F.split(F.lower(F.coalesce("meta_robots", F.lit(""))), ","), F.trim)
+    robots = F.transform(F.split(F.lower(F.coalesce("meta_robots", F.lit(""))), ","), lambda t: F.trim(t))
     spoken = T.detect_language(F.col("language"), U.path(F.col("url")), F.col("body_text"))
     out = parsed.withColumns(
         {

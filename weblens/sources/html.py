@@ -7,26 +7,28 @@ column expressions over its result.
 
 from __future__ import annotations
 
+import functools
+import ipaddress
 import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import quote, urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-LINK = "struct<href:string,absolute_url:string,text:string,nofollow:boolean,location:string>"
+LINK = "struct<href:string,absolute_url:string,text:string,nofollow:boolean,location:string,type:string,is_duplicate:boolean>"
 IMAGE = "struct<src:string,absolute_url:string,alt:string,title:string,loading:string>"
-ALTERNATE = "struct<lang:string,href:string,absolute_url:string>"
+ALTERNATE = "struct<lang:string,href:string,absolute_url:string,web:boolean,private:boolean,same_site:boolean>"
 HEADING = "struct<level:int,text:string>"
 PARSED = (
     "base_url string, language string, charset string, title string, meta_description string, meta_robots string, canonical string,"
-    " canonical_absolute_url string, viewport string, og_title string, og_description string, og_url string, og_type string,"
+    " canonical_absolute_url string, canonical_target struct<web:boolean,private:boolean,same_site:boolean,scheme:string>, viewport string, og_title string, og_description string, og_url string, og_type string,"
     " og_image string, twitter_card string, twitter_title string, twitter_description string, twitter_image string,"
-    f" headings array<{HEADING}>, raw_links array<{LINK}>, images array<{IMAGE}>, hreflang array<{ALTERNATE}>,"
+    f" headings array<{HEADING}>, links array<{LINK}>, images array<{IMAGE}>, hreflang array<{ALTERNATE}>,"
     " structured_data_count int, structured_data_types array<string>, structured_data_errors array<string>,"
     " body_text string, content_text string, main_content string, main_content_method string"
 )
@@ -158,6 +160,90 @@ def resolve(base: str, href: str | None) -> str | None:
         return None
 
 
+def _host(url: str | None) -> str:
+    parts = _split(url or "")
+    return (parts.hostname or "").rstrip(".") if parts else ""
+
+
+def _site(url: str | None) -> str:
+    return _host(url).removeprefix("www.")
+
+
+def _web(url: str | None) -> bool:
+    parts = _split(url or "")
+    return bool(parts and parts.scheme in ("http", "https") and parts.hostname)
+
+
+@functools.lru_cache(maxsize=4096)
+def _private(host: str) -> bool:
+    if host == "localhost" or host.endswith((".localhost", ".local")):
+        return True
+    try:
+        ip = ipaddress.ip_address(host.strip("[]"))
+    except ValueError:
+        return False
+    return ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved or ip.is_unspecified
+
+
+def _target(page_url: str, url: str | None) -> dict:
+    """What the rules ask about where a head tag points."""
+    same = bool(_host(url)) and _site(url) == _site(page_url)
+    parts = _split(url or "")
+    return {"web": _web(url), "private": _private(_host(url)), "same_site": same, "scheme": parts.scheme if parts else ""}
+
+
+_ESCAPE = re.compile(r"%([0-9A-Fa-f]{2})")
+
+
+def _escape(match) -> str:
+    c = chr(int(match.group(1), 16))
+    return c if c.isascii() and (c.isalnum() or c in "-._~") else match.group().upper()
+
+
+def normalized(url: str) -> str:
+    """The same form as functions.urls.normalize."""
+    parts = _split(url)
+    if parts is None:
+        return url
+    path = _ESCAPE.sub(_escape, parts.path or "/")
+    path = path if path.isascii() else "".join(c if c.isascii() else quote(c) for c in path)
+    path = path.rstrip("/") if len(path) > 1 else path
+    port = f":{parts.port}" if parts.port and (parts.scheme, parts.port) not in (("http", 80), ("https", 443)) else ""
+    return f"{parts.scheme}://{parts.hostname or ''}{port}{path}{'?' + parts.query if parts.query else ''}"
+
+
+def link_type(page_url: str, href: str, absolute: str | None) -> str:
+    """The same kinds as functions.urls.classify_link."""
+    raw = href.strip()
+    if not raw or raw[0] == "#":
+        return "anchor" if raw else "invalid"
+    found = re.match(r"(mailto|tel|javascript):", raw, re.I)
+    if found:
+        return found.group(1).lower()
+    if not _web(absolute):
+        return "invalid"
+    if urlsplit(absolute).fragment and normalized(absolute) == normalized(page_url):
+        return "anchor"
+    return "internal" if _site(absolute) == _site(page_url) else "external"
+
+
+def _links(base: str, elements: list[Element], by_id: dict[str, Element]) -> list[dict]:
+    out, seen = [], set()
+    for e in elements:
+        href, text = e.get("href"), _name(e, by_id)
+        absolute = resolve(base, href)
+        kind = link_type(base, href, absolute)
+        key = (kind, normalized(absolute) if kind in ("internal", "external") else href, text.lower())
+        out.append(
+            {
+                "href": href, "absolute_url": absolute, "text": text, "nofollow": "nofollow" in _rel(e), "location": _place(e),
+                "type": kind, "is_duplicate": key in seen,
+            }
+        )
+        seen.add(key)
+    return out
+
+
 def _rel(element: Element) -> list[str]:
     return element.attrs.get("rel", "").lower().split()
 
@@ -270,21 +356,12 @@ def parse_page(url: str, html: str) -> dict:
         "meta_robots": meta("name", "robots"),
         "canonical": canonical,
         "canonical_absolute_url": resolve(base, canonical),
+        "canonical_target": _target(url, resolve(base, canonical)),
         "viewport": meta("name", "viewport"),
         **{f"og_{k}": meta("property", f"og:{k}") for k in ("title", "description", "url", "type", "image")},
         **{f"twitter_{k}": meta("name", f"twitter:{k}") for k in ("card", "title", "description", "image")},
         "headings": headings,
-        "raw_links": [
-            {
-                "href": e.get("href"),
-                "absolute_url": resolve(base, e.get("href")),
-                "text": _name(e, by_id),
-                "nofollow": "nofollow" in _rel(e),
-                "location": _place(e),
-            }
-            for e in every
-            if e.tag == "a" and "href" in e.attrs
-        ],
+        "links": _links(base, [e for e in every if e.tag == "a" and "href" in e.attrs], by_id),
         "images": [
             {
                 "src": e.get("src") or "",
@@ -297,7 +374,7 @@ def parse_page(url: str, html: str) -> dict:
             if e.tag == "img" and not _pixel(e)
         ],
         "hreflang": [
-            {"lang": e.get("hreflang"), "href": e.get("href") or "", "absolute_url": resolve(base, e.get("href"))}
+            {"lang": e.get("hreflang"), "href": e.get("href") or "", "absolute_url": (to := resolve(base, e.get("href"))), **_target(url, to)}
             for e in links
             if "hreflang" in e.attrs and "alternate" in _rel(e)
         ],
