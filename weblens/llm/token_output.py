@@ -312,10 +312,18 @@ def read_index(files: DataFrame, folder: str) -> DataFrame:
     return named.mapInArrow(read, schema)
 
 
+def _qualified(documents: DataFrame, folder: str) -> str:
+    """The folder as a URI with its scheme: a bare path means the cluster's default file system to Spark."""
+    context = documents.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def token_index(documents: DataFrame, tokenizer: str | None = None, folder: str | None = None) -> DataFrame:
     """Write the token files of documents and return what their index says, one row for each row of documents.
 
     Columns: doc_id, start, n_tokens, ids_crc32, file. Only doc_id and text are read.
     """
-    folder = folder or f"{shared_dir(documents.sparkSession).rstrip('/')}/weblens/tokens-{uuid.uuid4().hex}"
+    folder = folder or _qualified(documents, f"{shared_dir(documents.sparkSession).rstrip('/')}/weblens/tokens-{uuid.uuid4().hex}")
     return read_index(write_tokens(documents, folder, tokenizer), folder)
