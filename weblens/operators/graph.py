@@ -81,12 +81,12 @@ def inlinks_outlinks(pages: DataFrame, links: DataFrame) -> DataFrame:
     return rows.select("key", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("unique_in", "unique_out")))
 
 
-def pagerank(nodes: DataFrame, links: DataFrame, iterations: int = 50, tolerance: float = 1e-8, every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, links: DataFrame, iterations: int = 50, tolerance: float = 1e-8) -> DataFrame:
     """(key, rank) over nodes(key) and distinct links(src, dst); ranks sum to 1.
 
-    The mass of pages without links is spread over all. Each round is one join and one aggregation; only three
-    numbers come to the driver. Lineage is cut every few rounds by writing the ranks to the shared folder. The rounds stop when the
-    ranks change by less than tolerance in sum; with tolerance 0 all of them run.
+    The mass of pages without links is spread over all. Each round is one join and one aggregation whose result is written to the shared
+    folder; two numbers come to the driver. The rounds stop when the ranks change by less than tolerance in sum; with
+    tolerance 0 all of them run.
     """
     nodes = nodes.select("key").distinct()
     n = nodes.count()
@@ -100,20 +100,20 @@ def pagerank(nodes: DataFrame, links: DataFrame, iterations: int = 50, tolerance
         ),
         "ranks",
     )
-    for step in range(1, iterations + 1):
-        lost = ranks.where("dangling").agg(F.sum("rank")).first()[0] or 0.0
+    lost = ranks.where("dangling").count() / n
+    for _ in range(iterations):
         base = (1.0 - DAMPING) / n + DAMPING * lost / n
         sent = out.join(ranks, out["src"] == ranks["key"]).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
         moved = ranks.join(sent, F.col("key") == F.col("to"), "left").select(
             "key", (F.lit(base) + DAMPING * F.coalesce("got", F.lit(0.0))).alias("rank"), "dangling", F.col("rank").alias("old")
         )
-        check = tolerance > 0 or step % every == 0 or step == iterations
-        if check:
-            moved = materialize(moved, "ranks")
-        if tolerance > 0 and moved.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
-            ranks = moved.drop("old")
-            break
+        moved = materialize(moved, "ranks")
+        delta, lost = moved.agg(
+            F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))
+        ).first()
         ranks = moved.drop("old")
+        if delta < tolerance:
+            break
     return ranks.select("key", "rank")
 
 
