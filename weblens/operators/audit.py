@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weblens.config import Settings
 from weblens.functions import text as T
-from weblens.operators.rules import GROUPS, PAGE_RULES, SEVERITIES, category_of, grade, penalty, score, severity_of, severity_rank
+from weblens.operators.rules import GROUPS, SEVERITIES, category_of, grade, penalty, score, severity_of, severity_rank
 
 #: Examples that an issue's value lists.
 EXAMPLES = 10
@@ -111,18 +109,15 @@ def audit_pages(parsed: DataFrame, settings: Settings | None = None) -> DataFram
     ]
     out = parsed.withColumn("_fired", F.array_compact(F.array(*fired)))
     touched = F.transform("_fired", lambda x: x["category"])
-    passed = [
-        F.when(
-            ~F.array_contains(touched, g),
-            F.struct(
-                F.lit(f"{g.upper()}_OK").alias("code"), F.lit(g).alias("category"), F.lit("passed").alias("severity"),
-                F.lit(1).alias("count"), F.lit(None).cast("string").alias("value"),
-            ),
-        )
-        for g in groups
-    ]
+    passed = F.transform(
+        F.array_except(F.array(*map(F.lit, groups)), touched),
+        lambda g: F.struct(
+            F.concat(F.upper(g), F.lit("_OK")).alias("code"), g.alias("category"), F.lit("passed").alias("severity"),
+            F.lit(1).alias("count"), F.lit(None).cast("string").alias("value"),
+        ),
+    )
     ranked = F.transform(
-        F.concat("_fired", F.array_compact(F.array(*passed))),
+        F.concat("_fired", passed),
         lambda x: F.struct(severity_rank(x["severity"]).alias("r"), x["category"].alias("g"), x["code"].alias("c"), x.alias("x")),
     )
     issues = F.transform(F.array_sort(ranked), lambda x: x["x"])
@@ -139,13 +134,14 @@ def _with_severity(severity: str) -> Column:
 
 def issue_rows(audited: DataFrame, *keys: str, passed: bool = False) -> DataFrame:
     """One row for each issue: keys, code, category, severity, count, value."""
-    rows = audited.select(*keys, F.explode("issues").alias("issue")).select(*keys, "issue.*")
+    # Every page has issues or passed groups. The outer form keeps the planner from testing the array beforehand, which would
+    # have it computed again for that.
+    rows = audited.select(*keys, F.explode_outer("issues").alias("issue")).select(*keys, "issue.*")
     return rows if passed else rows.where("severity <> 'passed'")
 
 
 def pages_with_issue(audited: DataFrame, code: str) -> DataFrame:
-    return audited.where(F.exists("issues", lambda x: x["code"] == code))
-
-
-def all_codes() -> list[str]:
-    return reduce(lambda done, rule: [*done, rule[0]], PAGE_RULES, [])
+    """Rows of audited with an issue of this code. A page has one at most, so the outer explode adds no rows; unlike a
+    condition on the array, it doesn't have the array computed again."""
+    found = F.filter("issues", lambda x: x["code"] == code)
+    return audited.select("*", F.explode_outer(found).alias("_found")).where("_found is not null").drop("_found")
