@@ -21,9 +21,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return good_documents(docs, train_quality(docs, read_table(spark, sf_dir, "labels")))
 
 
+#: Similarity of near-duplicates, in hundredths. op8_near_dedup has its own.
+NEAR_PERCENT = 80
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
-    return one_of_each(docs)
+    return one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Near-duplicate groups by a multi-index Hamming join of MinHash signatures.
 
-A document's set of word shingles gives SYMBOLS MinHash symbols of 16 bits. Two signatures within DISTANCE
-differing symbols agree, by the pigeonhole principle, up to DISTANCE // CHUNKS errors in at least one of the CHUNKS
-chunks; a chunk is looked up once for each allowed place of its error, so all pairs within the distance
-meet in a bucket. At a Jaccard similarity of 0.85 a pair is farther apart than that with a probability of
-3e-6 (binomial tail, 16 or more of 32 symbols with 0.15 each).
+A document's set of word shingles gives SYMBOLS MinHash symbols of 16 bits. The distance is the least number of
+differing symbols that a pair of the asked similarity exceeds with a probability of MISSED at most: 15 at 0.85 (3.5e-6,
+16 or more of 32 symbols with 0.15 each) and 18 at 0.80 (1.2e-6). Two signatures within the distance agree, by
+the pigeonhole principle, up to a few errors in at least one of the CHUNKS chunks; a chunk is looked up once for each
+allowed set of places of its errors, so all pairs within the distance meet in a bucket.
 
 Equal sets are one class from the start. A bucket is not expanded into pairs: blocks of its members of bounded
 size are compared by signature, and each block gives a spanning forest of the pairs within the distance, which has no more
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,33 @@ from weblens.llm.common import map_rows, materialize, may_be_among, release_cach
 from weblens.llm.components import connected_components
 from weblens.llm.shingles import contract_words, minima, sequences
 
-SYMBOLS, CHUNKS, DISTANCE = 32, 8, 15
+SYMBOLS, CHUNKS = 32, 8
+#: Probability of a pair at the asked similarity to be farther apart than the distance, at most.
+MISSED = 4e-6
 #: Members that one comparison takes on either side, and on the wide side of a confirmation.
 BLOCK, WIDE_BLOCK = 1024, 2048
 _COLUMNS = [f"s{i}" for i in range(CHUNKS)]
 
 
+def distance(percent: int) -> int:
+    """Differing symbols up to which pairs are compared: more than that has a probability of MISSED at most."""
+    differ = 1 - percent / 100
+    tail, d = 0.0, SYMBOLS
+    while d and (tail := tail + math.comb(SYMBOLS, d) * differ**d * (1 - differ) ** (SYMBOLS - d)) <= MISSED:
+        d -= 1
+    return d
+
+
+def chunk_errors(percent: int) -> list[int]:
+    """Errors allowed in each chunk, -1 for none of its keys.
+
+    With d = whole * CHUNKS + rest, a pair with more than `whole` errors in rest + 1 chunks and more than whole - 1
+    in the others differs in d + 1 symbols or more.
+    """
+    whole, rest = divmod(distance(percent), CHUNKS)
+    return [whole if i <= rest else whole - 1 for i in range(CHUNKS)]
+
+
 def _signed(documents: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n, set_id, s0..s7) of every row; four 16-bit symbols in each s."""
 
@@ -82,13 +104,14 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return made.dropDuplicates(["vid"])
 
 
-def _keys(classes: DataFrame) -> DataFrame:
-    """(key, vid): each chunk with each of its places left out, which are all ways to allow one error."""
-    keys = []
-    for i, c in enumerate(_COLUMNS):
-        for lane in range(SYMBOLS // CHUNKS):
-            mask = (2**64 - 1) ^ (0xFFFF << (16 * lane))
-            keys.append(F.xxhash64(F.lit(4 * i + lane), F.col(c).bitwiseAND(F.lit(mask - 2**64 if mask >= 2**63 else mask))))
+def _keys(classes: DataFrame, percent: int) -> DataFrame:
+    """(key, vid): each chunk with each set of its places left out that its errors may take."""
+    keys, lanes = [], SYMBOLS // CHUNKS
+    for i, (c, errors) in enumerate(zip(_COLUMNS, chunk_errors(percent), strict=True)):
+        for places in combinations(range(lanes), errors) if errors >= 0 else ():
+            mask = (2**64 - 1) ^ sum(0xFFFF << (16 * lane) for lane in places)
+            kind = (i << lanes) + sum(1 << lane for lane in places)
+            keys.append(F.xxhash64(F.lit(kind), F.col(c).bitwiseAND(F.lit(mask - 2**64 if mask >= 2**63 else mask))))
     return classes.select(F.explode(F.array(*keys)).alias("key"), "vid")
 
 
@@ -146,12 +169,12 @@ class _Forest:
 
 
 def _families(met: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """(vid, family) of all classes that have another one within DISTANCE.
+    """(vid, family) of all classes that have another one within the distance.
 
     Linked sets differ in size by less than one band, so a member joins those of its own band and of the next
     one, and only a band that still has too many members is dealt into pairs of blocks.
     """
-    width = math.log(100 / percent) * 1.001
+    width, most = math.log(100 / percent) * 1.001, distance(percent)
     rows = met.join(signatures.select("vid", F.floor(F.log("n") / width).cast("int").alias("own")), "vid")
     rows = rows.withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     many = rows.groupBy("key", "band").agg(F.count("*").alias("members")).where("members > 1")
@@ -180,7 +203,7 @@ def _families(met: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
             ok &= np.minimum(n[at], n[other]) * 100 >= np.maximum(n[at], n[other]) * percent
             x, y = at[ok], other[ok]
             if len(x):
-                near = (symbols[x] != symbols[y]).sum(axis=1) <= DISTANCE
+                near = (symbols[x] != symbols[y]).sum(axis=1) <= most
                 if near.any():
                     forest.add(x[near], y[near])
             step += 1
@@ -324,7 +347,7 @@ def one_of_each(documents: DataFrame, percent: int = 85) -> DataFrame:
 def _linked(documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(id, component) of the classes that have a link."""
     signatures = classes.select("vid", "n", *_COLUMNS)
-    keys = _keys(classes)
+    keys = _keys(classes, percent)
     buckets = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     families = materialize(_families(keys.join(buckets, "key"), signatures, percent), "families")
     wanted = families.join(classes.select("vid", "doc_id", "set_id"), "vid")
