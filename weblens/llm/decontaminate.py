@@ -3,9 +3,11 @@
 Short test items are to be found inside long documents, where the Jaccard similarity of the two is
 near zero. So items are partitioned by the size of their shingle sets, and each partition looks at documents through windows
 of a size to match: strides as long as the partition's largest set, two strides to a window. An item of the partition that
-a document holds has a Jaccard similarity of 0.19 or more with one of its windows, and is missed by HASHES hashes with
-a probability below 2e-6. The minima of longer windows are minima of shorter ones, so each shingle is hashed once.
+a document holds in one passage has a Jaccard similarity of 0.19 or more with one of its windows, and is missed by HASHES
+hashes with a probability below 2e-6. The minima of longer windows are minima of shorter ones, so each shingle is hashed once.
 Candidates are verified by the exact containment of the item's shingles in the whole document's.
+The shortest windows are too wide for that bound to hold for items of SHORT shingles or fewer: every document shingle is
+looked up in a table of theirs, which is exact.
 
 Items are the stated query set. They are read in blocks of bounded size, and documents are scanned once for
 each block; no document is shuffled.
@@ -27,6 +29,8 @@ HASHES, SEED = 64, 9
 BLOCK_ITEMS = 20_000
 #: Shingles in the shortest stride.
 STRIDE = 16
+#: Shingles up to which an item is looked up exactly; larger sets fill more than half of a stride.
+SHORT = STRIDE // 2
 _BITS = 20
 
 _BLANK = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
@@ -54,6 +58,8 @@ class ItemIndex:
         self.ids = [i for i, _ in items]
         self.sets = [np.unique(s) for s in sequences([plain_words(t or "") for _, t in items])]
         sizes = np.array([len(s) for s in self.sets], dtype=np.int64)
+        self._index_short(np.flatnonzero((sizes > 0) & (sizes <= SHORT)))
+        sizes[sizes <= SHORT] = 0
         low = minima(self.sets, HASHES, SEED)
         self.partitions: list[_Partition] = []
         blocks = 1
@@ -71,8 +77,30 @@ class ItemIndex:
         self.turns = rng.integers(0, 2**64, size=HASHES, dtype=np.uint64)
         self.factors = rng.integers(0, 2**64, size=HASHES, dtype=np.uint64) | np.uint64(1)
 
+    def _index_short(self, own: np.ndarray) -> None:
+        """The table of all shingles of short items, sorted, with their items beside them."""
+        shingles = np.concatenate([np.zeros(0, dtype=np.uint64), *(self.sets[i] for i in own)])
+        order = np.argsort(shingles, kind="stable")
+        self.short = shingles[order]
+        self.short_items = np.repeat(own, [len(self.sets[i]) for i in own])[order]
+        self.short_filled = np.zeros(1 << _BITS, dtype=bool)
+        self.short_filled[self.short & np.uint64((1 << _BITS) - 1)] = True
+
+    def short_matches(self, texts: list[np.ndarray], least: float) -> list[tuple[int, int, int]]:
+        """(text, item, shingles in common) of all short items that a text contains."""
+        out = []
+        for text, whole in enumerate(texts) if len(self.short) else ():
+            maybe = np.unique(whole[self.short_filled[whole & np.uint64((1 << _BITS) - 1)]])
+            lo, hi = (np.searchsorted(self.short, maybe, side=side) for side in ("left", "right"))
+            found = [self.short_items[a:b] for a, b in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True)]
+            if found:
+                for item, common in zip(*(x.tolist() for x in np.unique(np.concatenate(found), return_counts=True)), strict=True):
+                    if common >= least * len(self.sets[item]) - 1e-9:
+                        out.append((text, item, common))
+        return out
+
     def candidates(self, texts: list[np.ndarray]) -> set[tuple[int, int]]:
-        """(text, item) pairs that share the minimum of some hash in some window."""
+        """(text, item) pairs of longer items that share the minimum of some hash in some window."""
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         full = np.flatnonzero(sizes)
         if not len(full) or not self.partitions:
@@ -114,7 +142,7 @@ class ItemIndex:
         by_text: dict[int, list[int]] = {}
         for text, item in sorted(self.candidates(whole)):
             by_text.setdefault(text, []).append(item)
-        out = []
+        out = [(text, self.ids[item], common, len(self.sets[item])) for text, item, common in self.short_matches(whole, least)]
         for text, items in by_text.items():
             own = np.unique(whole[text])
             for item in items:
