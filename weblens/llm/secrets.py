@@ -155,13 +155,16 @@ def guess_spans(text: str, base: list[tuple[str, int, int]], least: float = LEAS
         found += [m.span(1) for m in _CONTEXT.finditer(text)]
     if "earer" in text or "EARER" in text:
         found += [m.span(1) for m in _BEARER.finditer(text)]
+    values = found + [(a, b) for _, a, b in base]
     found = sorted({(a, b) for a, b in found if not any(a < y and x < b for _, x, y in base)})
     if not found:
         return []
-    counts: dict[str, int] = {}
-    for word in re.findall(r"[^\W\d_]{4,}", text.lower()):
-        counts[word] = counts.get(word, 0) + 1
-    known = frozenset(w for w, n in counts.items() if n > 1)
+    # Words that stand outside all values: a value that is repeated is no better known for that.
+    outside, at = [], 0
+    for a, b in sorted(values):
+        outside.append(text[at : max(at, a)])
+        at = max(at, b)
+    known = frozenset(re.findall(r"[^\W\d_]{4,}", " ".join([*outside, text[at:]]).lower()))
     out, upto = [], -1
     for a, b in found:
         b -= len(text[a:b]) - len(text[a:b].rstrip(".)]}:!?"))
