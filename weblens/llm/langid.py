@@ -23,7 +23,7 @@ TRAINING_DOCUMENTS = 800
 BITS = 17
 #: Words in a training sequence.
 SEQUENCE = 6
-#: Letters of a word that features look at, from its start; the suffixes come from its end.
+#: Letters of a word at most; a longer run, as in scripts without blanks, is taken in pieces of so many.
 WIDTH = 24
 #: Word types whose scores a task keeps at most; then it starts again.
 KEPT_TYPES = 400_000
@@ -34,8 +34,11 @@ _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint6
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased words: runs that start with a letter."""
-    return _WORDS.findall(text.lower())
+    """Lower-cased words: runs that start with a letter, longer ones in pieces of WIDTH."""
+    found = _WORDS.findall(text.lower())
+    if max(map(len, found), default=0) <= WIDTH:
+        return found
+    return [w[at : at + WIDTH] for w in found for at in range(0, len(w), WIDTH)]
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +188,7 @@ def detect_language(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """One row for each row of documents: doc_id, held_out, lang_pred, score, n_switched.
 
     A null text, and one without a letter, gets "und" and score 0. n_switched counts the words in another
-    language than the document's. Repeated rows get equal results; an empty table gives no rows. Only doc_id
+    language than the document's, a run of more than WIDTH letters by its pieces. Repeated rows get equal results; an empty table gives no rows. Only doc_id
     and text are read.
     """
 
