@@ -152,14 +152,15 @@ class ItemIndex:
         return out
 
 
-def item_blocks(benchmark: DataFrame, block: int = BLOCK_ITEMS):
-    """Indexes of all items with an id and a text, a bounded block at a time."""
+def item_blocks(benchmark: DataFrame, block: int = BLOCK_ITEMS, unnamed: bool = False):
+    """Indexes of all items with an id, and with `unnamed` of those without one too, a bounded block at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
-    items = items.where(F.col("item_id").isNotNull())
+    if not unnamed:
+        items = items.where(F.col("item_id").isNotNull())
     parts = max(1, -(-items.count() // block))
     for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else items
-        yield ItemIndex(sorted((r["item_id"], r["text"]) for r in own.collect()))
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
+        yield ItemIndex(sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda i: (i[0] is None, i[0] or 0, i[1])))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
@@ -193,8 +194,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, least: float = 0.8)
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
-    """The rows of documents that contain no item, with all their columns."""
-    for index in item_blocks(benchmark):
+    """The rows of documents that contain no item, with all their columns. An item needs no id here."""
+    for index in item_blocks(benchmark, unnamed=True):
 
         def make(index=index):
             def step(texts):
