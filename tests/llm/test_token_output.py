@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,6 +17,8 @@ def test_elias_fano_round_trip(values):
     values = sorted(values)
     code = EliasFano.from_bytes(EliasFano.of(np.array(values, dtype=np.uint64), (values[-1] + 1) if values else 1).to_bytes())
     assert code.values().tolist() == values
+    for lo in range(0, len(values), 211):
+        assert code.select_range(lo, min(len(values), lo + 700)).tolist() == values[lo : lo + 700]
     assert [code.select(i) for i in range(0, len(values), 7)] == values[::7]
 
 
@@ -40,18 +43,28 @@ TRICKY = [
 ]
 
 
+def same_as_library(encoder, plain, texts):
+    for text, ids in zip(texts, encoder.encode(pa.array(texts, pa.string())).to_pylist(), strict=True):
+        assert np.frombuffer(ids, encoder.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids + [0], repr(text)
+
+
 def test_pieces_give_the_library_ids(encoder, plain):
+    assert encoder.by_piece
     for text in TRICKY:
-        got = np.frombuffer(encoder.ids([text])[0], encoder.dtype).tolist()
-        assert got == plain.encode(text, add_special_tokens=False).ids + [0], repr(text)
+        same_as_library(encoder, plain, [text])
+    same_as_library(encoder, plain, TRICKY)
 
 
-@given(st.lists(st.text(alphabet=" \n\t.,!'aAéß1_-ñ́　", max_size=40), max_size=5))
-@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=" \n\t.,!'aAéß1_-ñś　\x1cĠĊ", max_size=40), max_size=5))
+@settings(max_examples=300, deadline=None)
 def test_any_text(texts):
-    encoder, plain = test_any_text.both
-    for text, ids in zip(texts, encoder.ids(texts), strict=True):
-        assert np.frombuffer(ids, encoder.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids + [0]
+    same_as_library(*test_any_text.both, texts)
+
+
+@given(st.lists(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=60), max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_any_characters(texts):
+    same_as_library(*test_any_text.both, texts)
 
 
 test_any_text.both = (Encoder(default_tokenizer()), Tokenizer.from_file(default_tokenizer()))
@@ -85,10 +98,32 @@ def test_empty_table(spark, tmp_path):
     assert token_index(docs, folder=f"file://{tmp_path}/none").collect() == []
 
 
-def test_generations_of_pieces(plain, monkeypatch):
-    monkeypatch.setattr("weblens.llm.token_output.KEPT_PIECES", 20)
+def test_few_pieces_kept(plain, monkeypatch):
+    monkeypatch.setattr("weblens.llm.token_output.KEPT_BYTES", 3000)
+    monkeypatch.setattr("weblens.llm.token_output.GATHERED", 7)
+    monkeypatch.setattr("weblens.llm.token_output.TOGETHER", 3)
     encoder = Encoder(default_tokenizer())
-    for k in range(12):
-        texts = [f"start w{k % 5} word{k} again, la\nend{k} la." for _ in range(3)]
-        for text, ids in zip(texts, encoder.ids(texts), strict=True):
-            assert np.frombuffer(ids, encoder.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids + [0]
+    for k in range(30):
+        same_as_library(encoder, plain, [f"start w{k % 5} word{k} again, la\nend{k} la." for _ in range(3)])
+        assert len(encoder.rows) < 60
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = Encoder(path)
+    assert not encoder.by_piece
+    same_as_library(encoder, Tokenizer.from_file(path), ["One two.", "", "three  four\n"])
+
+
+def test_a_repeated_id_has_several_files(spark, tmp_path, plain):
+    rows = [(7, f"text {i}") for i in range(300)] + [(None, f"none {i}") for i in range(200)] + [(i, "x") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(token_index(docs, folder=f"file://{tmp_path}/many").collect(), key=lambda r: r["start"])
+    assert [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got] == sorted((i is not None, i or 0) for i, _ in rows)
+    assert [r["start"] for r in got] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in got])])[:-1].tolist()
+    crc = sorted(zlib.crc32(np.array(plain.encode(t).ids + [0], "<u4").tobytes()) for _, t in rows)
+    assert sorted(r["ids_crc32"] for r in got) == crc
+    assert len({r["file"] for r in got if r["doc_id"] == 7}) > 1
+    assert len({r["file"] for r in got if r["doc_id"] is None}) > 1

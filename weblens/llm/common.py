@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -88,6 +89,8 @@ def training_texts(documents: DataFrame, labels: DataFrame, label: str, limit: i
     return [(r["t"], of[r["k"]]) for r in sorted(rows.collect(), key=lambda r: (r["k"], r["t"]))]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: Caches of this Python worker: owner -> what empties it.
 _CACHES: dict[str, Callable[[], None]] = {}
 
@@ -98,9 +101,15 @@ def keep_cache(owner: str, clear: Callable[[], None]) -> None:
 
 
 def release_caches(*owners: str) -> None:
-    """Empty the caches of all but `owners`: a worker serves the tasks of many stages, one after the other."""
+    """Empty the caches of all but `owners`: a worker serves the tasks of many stages, one after the other.
+
+    Memory that was given back goes to the system, so that a worker doesn't keep the most that any of its tasks took.
+    """
     for other in [o for o in _CACHES if o not in owners]:
         _CACHES.pop(other)()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def map_rows(
@@ -126,19 +135,25 @@ def map_rows(
         release_caches(owner)
         step = make()
         for batch in batches:
-            sizes = pc.binary_length(batch.column(columns.index(text))).fill_null(0).to_pylist()
-            start, chars = 0, 0
-            for i, n in enumerate(sizes):
-                if i > start and (chars + n > most_chars or i - start >= most_rows):
-                    yield _step(step, batch.slice(start, i - start), columns, out)
-                    start, chars = i, 0
-                chars += n
-            if start < len(sizes):
-                yield _step(step, batch.slice(start), columns, out)
+            for part in slices(batch, columns.index(text), most_chars, most_rows):
+                yield _step(step, part, columns, out)
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 3_000_000, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most `most_bytes` of text in `column`, unless one text alone is longer."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (held + n > most_bytes or i - start >= most_rows):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def _step(step, batch: pa.RecordBatch, columns: list[str], out: pa.Schema) -> pa.RecordBatch:
     made = step({c: batch.column(i).to_pylist() for i, c in enumerate(columns)})
     return pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)

@@ -48,10 +48,10 @@ class EliasFano:
         bits[places] = 1
         mask = np.uint64((1 << width) - 1)
         low = np.frombuffer(_pack(values & mask, width), dtype=np.uint8)
-        return cls(n, int(bound), width, low, np.packbits(bits, bitorder="little"), places[::SAMPLE].astype("<u4"))
+        return cls(n, int(bound), width, low, np.packbits(bits, bitorder="little"), places[::SAMPLE].astype("<u8"))
 
     def to_bytes(self) -> bytes:
-        body = self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u4").tobytes()
+        body = self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u8").tobytes()
         return _HEAD.pack(self.n, self.bound, self.width) + body
 
     @classmethod
@@ -62,7 +62,7 @@ class EliasFano:
         at += len(low)
         high = np.frombuffer(data, np.uint8, (n + (bound >> width) + 1 + 7) // 8, at)
         at += len(high)
-        return cls(n, bound, width, low, high, np.frombuffer(data, "<u4", (n + SAMPLE - 1) // SAMPLE, at))
+        return cls(n, bound, width, low, high, np.frombuffer(data, "<u8", (n + SAMPLE - 1) // SAMPLE, at))
 
     def _low(self, i: int) -> int:
         start, stop = i * self.width, (i + 1) * self.width
@@ -85,18 +85,26 @@ class EliasFano:
         place = byte * 8 + (here & -here).bit_length() - 1
         return ((place - i) << self.width) | self._low(i)
 
-    def values(self) -> np.ndarray:
-        """All values."""
-        bits = np.unpackbits(self.high, bitorder="little")
-        high = (np.flatnonzero(bits)[: self.n] - np.arange(self.n)).astype(np.uint64) << np.uint64(self.width)
+    def select_range(self, lo: int, hi: int) -> np.ndarray:
+        """The values from the lo-th to before the hi-th. Only the bits between their samples are read."""
+        if not 0 <= lo <= hi <= self.n:
+            raise IndexError((lo, hi))
+        if lo == hi:
+            return np.zeros(0, dtype=np.int64)
+        first = int(self.samples[lo // SAMPLE]) // 8
+        after = (hi - 1) // SAMPLE + 1
+        last = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        places = np.flatnonzero(np.unpackbits(self.high[first:last], bitorder="little")) + first * 8
+        # Set bits of the first byte that come before the sample.
+        skipped = int(np.searchsorted(places, int(self.samples[lo // SAMPLE]))) + lo % SAMPLE
+        high = (places[skipped : skipped + hi - lo] - np.arange(lo, hi)) << self.width
         if not self.width:
             return high
-        out = np.empty(self.n, dtype=np.uint64)
-        powers = np.uint64(1) << np.arange(self.width, dtype=np.uint64)
-        for lo in range(0, self.n, 1 << 16):
-            m = min(1 << 16, self.n - lo)
-            first = lo * self.width // 8
-            raw = self.low[first : first + (m * self.width + 7) // 8]
-            bits = np.unpackbits(raw, bitorder="little")[: m * self.width].reshape(m, self.width)
-            out[lo : lo + m] = (bits * powers).sum(axis=1, dtype=np.uint64)
-        return high | out
+        begin = lo * self.width
+        raw = self.low[begin // 8 : (hi * self.width + 7) // 8]
+        bits = np.unpackbits(raw, bitorder="little")[begin % 8 :][: (hi - lo) * self.width].reshape(hi - lo, self.width)
+        return high | (bits << np.arange(self.width, dtype=np.int64)).sum(axis=1)
+
+    def values(self) -> np.ndarray:
+        """All values."""
+        return np.concatenate([np.zeros(0, dtype=np.int64), *(self.select_range(lo, min(self.n, lo + (1 << 16))) for lo in range(0, self.n, 1 << 16))])
