@@ -1,4 +1,6 @@
-from weblens.llm.html_extract import candidate_paths, extract, extract_pages
+import time
+
+from weblens.llm.html_extract import extract, extract_pages, page_paths
 
 PLAIN = (
     '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">x</a></li></ul></nav>'
@@ -18,11 +20,11 @@ RICH = """<html><body><header class="site-header"><h1>Site</h1><a href=/>home</a
 
 
 def test_plain():
-    assert extract(PLAIN, [p for p, _ in candidate_paths(PLAIN)][:1]) == "One & two First para. Second para here."
+    assert extract(PLAIN, [page_paths(PLAIN)[0]]) == "One & two First para. Second para here."
 
 
 def test_rich():
-    path = candidate_paths(RICH)[0][0]
+    path = page_paths(RICH)[0]
     assert path.endswith("div.post-content")
     assert extract(RICH, [path]) == "Heading Real text, with a link and more words in it. Second paragraph <ok>. One Two c1 c2"
 
@@ -30,11 +32,44 @@ def test_rich():
 def test_odd_pages():
     for source in ("", "   ", "just text", "<", "<p", "</div>", "<div><div><div>", "<b>x", "<!-- open", "<script>var a", "a < b > c &#x41; &bogus;"):
         extract(source, ["body>article"])
-        candidate_paths(source)
+        page_paths(source)
     assert extract("just text", []) == "just text"
     assert extract("<div>" * 300 + "<p>deep</p>", []) == "deep"
 
 
+def test_deep_and_broken_pages_take_linear_time():
+    many = 50_000
+    began = time.time()
+    assert extract("<div>" * many + "<p>deep</p>", []) == "deep"
+    assert extract("<b>" * many + "<p>deep</p>", []) == "deep"
+    deep = "<div class=a>" * many + "<p>deep</p>"
+    assert extract(deep, [page_paths(deep)[0]]) == "deep"
+    for piece in (
+        "<a ", '<a "', "<a ><i", "<ul>", "<ul></li>", "<li></li>", "<tr></tr>", "</b>", "<!", "<!--", "<p><b>", "<i><div></i>", "<script>", "<td>", "a<b>c</i>",
+    ):
+        for end in ("", ">", "'>", '">'):
+            page = "<div><table>" + piece * (many // 5) + end
+            extract(page, [])
+            page_paths(page)
+    assert extract("<p>" + "<a " * 1_700_000, []).startswith("<a <a")
+    assert time.time() - began < 90
+
+
+def test_eight_templates_on_one_host(spark):
+    promo = "<div class=banner-box><p>The same offer stands on each page of the host, and it is long.</p></div>"
+    promo = promo.replace("banner-box", "offer")
+    rows, want = [], {}
+    for k in range(8):
+        for i in range(2 + 10 * (k == 0)):
+            page_id, body = 100 * k + i, f"Text {i} of template {k}, which is a good bit longer than the offer that stands beside it."
+            if i == 1:
+                body = f"Short {k}."
+            rows.append((page_id, "http://many.org/x", f"<html><body>{promo}<div class=t{chr(97 + k)}><p>{body}</p></div></body></html>"))
+            want[page_id] = body
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract_pages(pages).collect()} == want
+
+
 def test_hosts_vote(spark):
     short = '<html><body><div class="main7"><p>Tiny.</p></div><div class="box"><p>{}</p></div></body></html>'
     full = '<html><body><div class="main{}"><p>{}</p></div><div class="box"><p>Box.</p></div></body></html>'
