@@ -1,11 +1,13 @@
 import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weblens import api
 from weblens.operators import audit, pages, render, rollup
-from weblens.sources.html import parse_page
+from weblens.sources.html import _Builder, parse_page, tree
 
 URL = "https://example.com/blog/post"
 
@@ -154,3 +156,22 @@ def test_rollup(spark):
     rows = {r["code"]: (r["n"], r["pct"]) for r in api.issue_summary(audited).collect()}
     assert rows["H1_MISSING"] == (1, 50.0)
     assert {r["page_id"]: r["shared_with"] for r in rollup.duplicates(audited, "title").collect()} == {1: 1, 2: 1}
+
+
+@given(st.text(alphabet="<>a/\"'=! -&;p", max_size=40))
+@settings(max_examples=400, deadline=None)
+def test_tail_without_tags_reads_as_before(source):
+    builder = _Builder()
+    builder.feed(source)
+    builder.close()
+
+    def shape(root):
+        return root.text(), [(e.tag, e.attrs) for e in root.walk()]
+
+    assert shape(tree(source)) == shape(builder.root)
+
+
+def test_unclosed_tags_take_linear_time():
+    began = time.time()
+    assert tree("<p>x" + "<a " * 100_000).text().count("<a") == 99_999
+    assert time.time() - began < 10

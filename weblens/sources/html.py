@@ -12,6 +12,7 @@ import ipaddress
 import json
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import quote, urljoin, urlsplit
 
@@ -135,9 +136,16 @@ class _Builder(HTMLParser):
 
 
 def tree(html: str) -> Element:
-    builder = _Builder()
-    builder.feed(html)
+    """The document's elements. No tag ends after the last ">", so what follows it is text and is not searched for tags."""
+    builder, cut = _Builder(), html.find("<", html.rfind(">") + 1)
+    builder.feed(html if cut < 0 else html[:cut])
     builder.close()
+    if cut >= 0 and builder.cdata_elem is None:
+        *pieces, last = html[cut + 1 :].split("<")
+        parts = (p for piece in pieces for p in ((f"<{piece}",) if re.match(r"[a-zA-Z/!?]", piece) else ("<", piece)))
+        for piece in [*parts, "<", last]:
+            if piece:
+                builder.handle_data(unescape(piece))
     return builder.root
 
 
