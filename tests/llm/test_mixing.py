@@ -3,7 +3,8 @@ import re
 import numpy as np
 import pytest
 
-from weblens.llm.mixing import _draw, make_plan, mix, mixed_documents, permute, targets
+from weblens.llm import mixing
+from weblens.llm.mixing import _draw, hypergeometric, make_plan, mix, mixed_documents, permute, targets
 
 
 def test_targets_are_reshared():
@@ -17,7 +18,9 @@ def test_targets_are_reshared():
 
 @pytest.mark.parametrize("n", [1, 2, 3, 64, 1000, 4097])
 def test_permutation(n):
-    assert sorted(permute(np.arange(n), n, (1, 2)).tolist()) == list(range(n))
+    there = permute(np.arange(n), n, (1, 2))
+    assert sorted(there.tolist()) == list(range(n))
+    assert permute(there, n, (1, 2), back=True).tolist() == list(range(n))
 
 
 def test_shards_use_up_the_quotas():
@@ -30,9 +33,62 @@ def test_shards_use_up_the_quotas():
     assert before.tolist() == plan.quotas
 
 
-def test_large_draws_are_split_in_proportion():
-    left = _draw(np.array([10**12, 3 * 10**12]), 10**12, np.random.default_rng(0))
-    assert left.sum() == 10**12 and abs(left[0] - 25 * 10**10) <= 1
+@pytest.mark.parametrize("good, bad, n", [(5, 7, 6), (40, 3, 20), (300, 5000, 900), (100_000, 100_000, 150_000)])
+def test_own_draws_have_the_distribution_of_the_library(monkeypatch, good, bad, n):
+    many = 20_000
+    want = np.random.default_rng(1).hypergeometric(good, bad, n, many)
+    monkeypatch.setattr(mixing, "_NUMPY_TOTAL", 0)
+    rng = np.random.default_rng(2)
+    got = np.array([hypergeometric(good, bad, n, rng) for _ in range(many)])
+    cuts = np.unique(np.quantile(want, np.linspace(0, 1, 9)[1:-1]))
+    for cut in cuts:
+        assert abs((got <= cut).mean() - (want <= cut).mean()) < 0.02
+    assert got.min() >= max(0, n - bad) and got.max() <= min(good, n)
+
+
+def test_large_draws_are_draws():
+    good, bad, n = 10**15, 3 * 10**15, 10**15
+    rng = np.random.default_rng(0)
+    found = np.array([hypergeometric(good, bad, n, rng) - 25 * 10**13 for _ in range(4000)], dtype=float)
+    spread = (n * 0.25 * 0.75 * 0.75) ** 0.5
+    assert abs(found.mean()) < 4 * spread / 4000**0.5 and abs(found.std() / spread - 1) < 0.05
+    left = _draw(np.array([good, bad]), n, np.random.default_rng(0))
+    assert left.sum() == n and left[0] != 25 * 10**13
+
+
+def test_a_quota_of_any_size_meets_its_target():
+    plan = make_plan([("a", 10**15 + 7), ("b", 4 * 10**14 + 1), ("c", 2 * 10**12)])
+    for sid, aim in enumerate(plan.targets):
+        assert abs(plan.taken(sid, plan.quotas[sid]) - aim) <= 64
+
+
+def test_taken_agrees_with_slots_counted_one_by_one(spark):
+    rows = [(i, "w " * (37 * i % 400), ["a", "b", None][i % 3]) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed, plan = mixing._placed(table, {})
+    place = [(r["sid"], r["start"], r["size"], r["doc_id"]) for r in placed.collect()]
+    want = dict.fromkeys(range(60), 0)
+    for sid in range(3):
+        n, used = plan.blocks[sid], [0] * plan.blocks[sid]
+        for slot in range(plan.quotas[sid]):
+            order = permute(np.arange(n), n, (sid, slot // n))
+            used[order[slot % n]] += 1
+        words = [d for s, _, size, d in sorted((p[0], p[1], p[2], p[3]) for p in place if p[0] == sid and p[2]) for _ in range(size)]
+        for at, doc in enumerate(words):
+            want[doc] += used[at // plan.block_words]
+        assert sum(used[at // plan.block_words] for at in range(len(words))) == plan.taken(sid, plan.quotas[sid])
+    assert {r["doc_id"]: r["taken"] for r in mix(table).collect()} == want
+
+
+def test_no_column_is_lost(spark):
+    names = ["_hash", "_start", "_source", "_doc_id", "_pieces", "key", "whole", "new", "start", "pieces", "text_hash", "row_hash", "sid", "block", "a.b"]
+    kind = "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in names)
+    rows = [(i // 2, f"one two three {i // 4}", "s", *(100 * i + k for k in range(len(names)))) for i in range(40)]
+    table = spark.createDataFrame(rows, kind)
+    out = mixed_documents(table)
+    assert out.columns == table.columns
+    got = {tuple(r)[3:]: r["doc_id"] for r in out.collect()}
+    assert len(got) == 40 and all(got[r[3:]] == r[0] for r in rows)
 
 
 def docs(spark):

@@ -131,3 +131,16 @@ def _one(rows, tagged, k):
 
 def test_empty(spark):
     assert near_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_no_column_is_lost(spark):
+    names = ["_hash", "_text_hash", "_id", "_again", "again", "whole", "hash", "id", "text_hash", "k"]
+    kind = "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in names)
+    rows = [(i, f"the same words in all {i // 3}", *(100 * i + k for k in range(len(names)))) for i in range(30)]
+    rows += [(0, rows[0][1], *(7 for _ in names))]
+    table = spark.createDataFrame(rows, kind)
+    out = one_of_each(table)
+    assert out.columns == table.columns
+    got = out.collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(0, 30, 3))
+    assert all(tuple(r) in rows for r in got)

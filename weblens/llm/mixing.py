@@ -12,6 +12,7 @@ One row for each source comes to the driver and goes to all tasks; documents, bl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +33,10 @@ MOST_PASSES = 3
 ORDERED = 10_000
 #: Sources up to which their table is sent to all tasks in a broadcast join.
 BROADCAST_SOURCES = 100_000
-#: numpy draws hypergeometric counts below this total; larger totals are split in proportion, where noise is below 1e-4.
-_DRAWN = 900_000_000
+#: Parts of a source whose sizes are added up in one task.
+ADDED = 1024
+#: numpy's limit of a hypergeometric draw. Larger draws are made here, from the same distribution.
+_NUMPY_TOTAL = 900_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -46,7 +49,7 @@ def targets(sizes: list[int], weights: list[int], most: int = MOST_PASSES) -> li
     free, left = [i for i, s in enumerate(sizes) if s > 0], float(sum(sizes))
     while free:
         unit = left / sum(weights[i] for i in free)
-        over = [i for i in free if unit * weights[i] > most * sizes[i]]
+        over = {i for i in free if unit * weights[i] > most * sizes[i]}
         if not over:
             for i in free:
                 out[i] = unit * weights[i]
@@ -54,7 +57,7 @@ def targets(sizes: list[int], weights: list[int], most: int = MOST_PASSES) -> li
         for i in over:
             out[i] = float(most * sizes[i])
             left -= out[i]
-        free = [i for i in free if i not in set(over)]
+        free = [i for i in free if i not in over]
     return out
 
 
@@ -64,17 +67,25 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def permute(index: np.ndarray, n: int, key: tuple[int, ...]) -> np.ndarray:
-    """Pseudorandom permutation of range(n): a Feistel network over the next even number of bits, walked into range."""
+def _rounds(n: int, key: tuple[int, ...]) -> tuple[np.uint64, np.uint64, np.ndarray]:
+    """(bits of a half, their mask, round keys) of the Feistel network over range(n)."""
     half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
-    mask = np.uint64((1 << half) - 1)
     keys = np.random.default_rng([SEED, *key]).integers(0, 2**64, size=4, dtype=np.uint64)
+    return np.uint64(half), np.uint64((1 << half) - 1), keys
+
+
+def permute(index: np.ndarray, n: int, key: tuple[int, ...], back: bool = False) -> np.ndarray:
+    """Pseudorandom permutation of range(n), or its inverse: a Feistel network over an even number of bits, walked into range."""
+    half, mask, keys = _rounds(n, key)
 
     def once(x: np.ndarray) -> np.ndarray:
-        left, right = x >> np.uint64(half), x & mask
-        for k in keys:
-            left, right = right, left ^ (_mix64(right + k) & mask)
-        return (left << np.uint64(half)) | right
+        left, right = x >> half, x & mask
+        for k in keys[::-1] if back else keys:
+            if back:
+                left, right = right ^ (_mix64(left + k) & mask), left
+            else:
+                left, right = right, left ^ (_mix64(right + k) & mask)
+        return (left << half) | right
 
     out = once(index.astype(np.uint64))
     while len(outside := np.flatnonzero(out >= np.uint64(n))):
@@ -111,9 +122,9 @@ class MixPlan:
         """Words in the first `quota` slots: whole blocks, but for the last block of the source."""
         n = self.blocks[sid]
         whole, rest = divmod(quota, n)
-        last = np.flatnonzero(permute(np.arange(rest), n, (sid, whole)) == n - 1) if rest else np.zeros(0)
+        last = int(permute(np.array([n - 1]), n, (sid, whole), back=True)[0] < rest) if rest else 0
         short = n * self.block_words - self.sizes[sid]
-        return quota * self.block_words - short * (whole + len(last))
+        return quota * self.block_words - short * (whole + last)
 
     def shard(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(slots of each source in shard k, slots of each source in all shards before it)."""
@@ -130,17 +141,65 @@ class MixPlan:
 
 
 def _draw(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    total = int(counts.sum())
+    """How many of n slots fall to each source, of which counts are left: a multivariate hypergeometric draw."""
+    left = [int(c) for c in counts]
+    total = sum(left)
     n = min(n, total)
-    if total < _DRAWN:
+    if total < _NUMPY_TOTAL:
         return rng.multivariate_hypergeometric(counts, n, method="marginals")
-    exact = [int(c) * n for c in counts]
-    out = np.array([e // total for e in exact], dtype=np.int64)
-    rest = np.array([e % total for e in exact], dtype=float)
-    out[np.argsort(-rest, kind="stable")[: n - int(out.sum())]] += 1
+    out = np.zeros(len(left), dtype=np.int64)
+    for i, good in enumerate(left):
+        total -= good
+        out[i] = hypergeometric(good, total, n, rng)
+        n -= int(out[i])
     return out
 
 
+def hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """Good ones among n of good + bad, for totals of any size: rejection from a table mountain (ratio of uniforms).
+
+    The probabilities of two counts are compared by differences from the likeliest count, so large totals lose no precision.
+    """
+    if n == 0 or good == 0:
+        return 0
+    if bad == 0 or n == good + bad:
+        return min(n, good)
+    if good + bad < _NUMPY_TOTAL:
+        return int(rng.hypergeometric(good, bad, n))
+    total = good + bad
+    low, high = max(0, n - bad), min(good, n)
+    mode = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
+    mean = n * good / total
+    spread = (mean * (bad / total) * ((total - n) / (total - 1)) + 0.5) ** 0.5
+    wide = 2 * (2 / math.e) ** 0.5 * spread + 3 - 2 * (3 / math.e) ** 0.5
+
+    def relative(k: int) -> float:
+        """log p(k) - log p(mode)."""
+        d = k - mode
+        # log of C(good, k) * C(bad, n - k): each factorial's change, and what is linear in d of all four together.
+        above, below = (good - mode + 1) * (n - mode + 1), (mode + 1) * (bad - n + mode + 1)
+        linear = d * math.log1p((above - below) / below)
+        return linear - sum(_bend(x + 1, s * d) for x, s in ((mode, 1), (good - mode, -1), (n - mode, -1), (bad - n + mode, 1)))
+
+    while True:
+        u, v = rng.random(2).tolist()
+        if u == 0.0:
+            continue
+        k = math.floor(mean + 0.5 + wide * (v - 0.5) / u)
+        if low <= k <= high and 2 * math.log(u) <= relative(k):
+            return k
+
+
+def _bend(x: int, d: int) -> float:
+    """log((x + d - 1)! / (x - 1)!) - d * log(x), for x of 1 or more."""
+    if d == 0:
+        return 0.0
+    if x + min(d, 0) < 1000:  # few factors or small ones: exact enough by the library
+        return math.lgamma(x + d) - math.lgamma(x) - d * math.log(x)
+    series = (1 / (x + d) - 1 / x) / 12
+    return (x + d - 0.5) * math.log1p(d / x) - d + series
+
+
 def make_plan(sources: list[tuple[str | None, int]], block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> MixPlan:
     """Sources by code point, null last, weigh 1, 2, 3, 1, 2, 3 and so on."""
     sources = sorted(sources, key=lambda s: (s[0] is None, s[0] or ""))
@@ -153,9 +212,7 @@ def make_plan(sources: list[tuple[str | None, int]], block_words: int = BLOCK_WO
             near = round(aim * n / size)
             tries = [q for q in (near, near - 1, near + 1) if 0 <= q <= MOST_PASSES * n]
             # Which quota comes nearest depends on how often the source's short last block is among its slots.
-            if n <= 50_000_000:
-                near = min(tries, key=lambda q: abs(plan.taken(sid, q) - aim))
-            plan.quotas[sid] = near
+            plan.quotas[sid] = min(tries, key=lambda q: abs(plan.taken(sid, q) - aim))
     return plan
 
 
@@ -186,10 +243,16 @@ def _placed(documents: DataFrame, extra: dict[str, Column]) -> tuple[DataFrame,
     mixed = F.xxhash64(F.lit(SEED), "doc_id")
     known = known.withColumn("turn", mixed).withColumn("part", F.pmod("turn", F.col("parts")))
     parts = known.groupBy("sid", "part").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(
-        F.col("sid").alias("of"), F.col("part").alias("at"), F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("base")
-    )
+    parts = parts.withColumn("run", F.expr(f"part div {ADDED}"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    runs = parts.groupBy("sid", "run").agg(F.sum("words").alias("words"))
+    runs = runs.select(
+        F.col("sid").alias("sid_of"), F.col("run").alias("run_of"),
+        F.coalesce(F.sum("words").over(before.partitionBy("sid").orderBy("run")), F.lit(0)).alias("first"),
+    )
+    inside = F.coalesce(F.sum("words").over(before.partitionBy("sid", "run").orderBy("part")), F.lit(0))
+    parts = parts.withColumn("inside", inside).join(runs, (F.col("sid") == F.col("sid_of")) & (F.col("run") == F.col("run_of")))
+    parts = parts.select(F.col("sid").alias("of"), F.col("part").alias("at"), (F.col("first") + F.col("inside")).alias("base"))
     within = Window.partitionBy("sid", "part").orderBy("turn", "doc_id", "size", *extra).rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -255,22 +318,22 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
 
     The first copy of a text has all of its words that any slot takes, in their order and with what stands between them; words that are taken
     twice or three times follow again, a new line before each run. n_chars, where there is such a column,
-    follows the new text. Rows of which nothing is taken go. Rows that agree in doc_id, source and text are
-    told apart by their copies only.
+    follows the new text. Rows of which nothing is taken go, and so do null and empty texts. Rows that agree in all columns are told apart by
+    what the mix takes of them. Columns may have any names. A null source is a source of its own, and an empty table gives no rows. A very
+    long text is one row, and a task holds it once or twice.
     """
-    keys = ["doc_id", "source", "text_hash"]
-    placed, plan = _placed(documents, {"text_hash": F.xxhash64(text_or_empty())})
+    other = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
+    row = F.xxhash64(text_or_empty(), F.to_json(F.struct(*other))).alias("row_hash")
+    text_hash = F.xxhash64(F.lit(1), text_or_empty()).alias("text_hash")
+    keys = ["doc_id", "row_hash", "text_hash"]
+    placed, plan = _placed(documents, {"row_hash": row, "text_hash": text_hash})
     pieces = _pieces(placed, plan).groupBy("sid", "start").agg(F.sort_array(F.collect_list(F.struct("block", "words", "times"))).alias("pieces"))
     pieces = pieces.select(F.col("sid").alias("s"), F.col("start").alias("b"), "pieces")
     found = placed.where("size > 0").join(pieces, (F.col("sid") == F.col("s")) & (F.col("start") == F.col("b")))
-    found = found.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("start").alias("_start"), F.col("pieces").alias("_pieces"))
-    whole = documents.withColumn("_hash", F.xxhash64(text_or_empty())).dropDuplicates(["doc_id", "source", "_hash"])
-    joined = whole.join(
-        found,
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id"))
-        & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-        & (F.col("_hash") == F.col("_text_hash")),
-    )
+    found = found.select(_key(*keys), "start", "pieces")
+    # The row as one value: its columns' names cannot meet those used here.
+    whole = documents.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), row, text_hash)
+    joined = whole.select("whole", _key(*keys)).dropDuplicates(["key"]).join(found, "key")
     size = plan.block_words
 
     from pyspark.sql.functions import pandas_udf
@@ -281,11 +344,16 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
 
         return pd.Series([_cut(t or "", s, [(p["block"], p["words"], p["times"]) for p in ps], size) for t, s, ps in zip(text, start, pieces, strict=True)])
 
-    new = {"text": cut(F.col("text"), F.col("_start"), F.col("_pieces"))}
-    out = joined.withColumns(new)
+    joined = joined.withColumn("new", cut(F.col("whole.text").cast("string"), F.col("start"), F.col("pieces")))
+    new = {"text": F.col("new")}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return out.select(*documents.columns)
+        new["n_chars"] = F.length("new").cast(documents.schema["n_chars"].dataType)
+    return joined.select(*(new.get(c, F.col(f"whole.`{c}`")).alias(c) for c in documents.columns))
+
+
+def _key(*columns: str) -> Column:
+    """A key without nulls."""
+    return F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns)).alias("key")
 
 
 def _cut(text: str, start: int, pieces: list[tuple[int, int, int]], size: int) -> str:

@@ -331,17 +331,18 @@ def one_of_each(documents: DataFrame, percent: int = 85) -> DataFrame:
     )
     if gone.isEmpty():
         return documents
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
-    held = documents.withColumn("_text_hash", F.xxhash64(text_or_empty()))
+    key = F.coalesce(F.col("doc_id"), F.lit(-1))
+    # The row as one value: its columns' names cannot meet those used here.
+    held = documents.select(
+        F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash")
+    )
     maybe = may_be_among(gone.select(key.alias("k")), "k")(key)
     sure, asked = held.where(~maybe), held.where(maybe)
-    g = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("again").alias("_again"))
-    found = asked.join(
-        g, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left"
-    )
-    once = found.where("_again").dropDuplicates(["doc_id", "_text_hash"])
-    out = [*documents.columns]
-    return sure.select(*out).unionByName(found.where("_again is null").select(*out)).unionByName(once.select(*out))
+    g = gone.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "again")
+    found = asked.join(g, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
+    once = found.where("again").dropDuplicates(["doc_id", "text_hash"])
+    kept = sure.select("whole").unionByName(found.where("again is null").select("whole")).unionByName(once.select("whole"))
+    return kept.select("whole.*")
 
 
 def _linked(documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
