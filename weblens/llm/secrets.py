@@ -1,15 +1,19 @@
 """Secrets in text: fixed patterns, and credential values that are costly to guess.
 
 The cost of a value is the smallest sum over its segmentations into known words, dates, repeats, sequences, keyboard walks and
-brute-force spans, in powers of ten of guesses, found by dynamic programming. A value in a credential
-context whose cost reaches LEAST_COST is a secret of kind "guess", unless a fixed pattern covers it.
+brute-force spans, in powers of ten of guesses, found by dynamic programming. A whole value in a credential
+context whose cost reaches LEAST_COST is a secret of kind "guess", unless it lies in a span of a fixed pattern; one that such a
+span only cuts into is added as a whole. All steps take time in proportion to a value's length.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
+from bisect import bisect_right
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +55,7 @@ LEET = str.maketrans("04315$@7!8", "oaeisSatib".lower())
 
 _RANK = {w: math.log10(i + 2) for i, w in enumerate(WORDS)}
 _LONGEST = max(map(len, WORDS))
+_BEGINS = frozenset(w[:3] for w in WORDS)
 _DATE = re.compile(
     r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d"
 )
@@ -70,6 +75,7 @@ def _neighbours() -> dict[str, set[str]]:
 _NEXT = _neighbours()
 
 
+@functools.lru_cache(maxsize=4096)
 def _size(c: str) -> float:
     if c.isdigit():
         return 1.0
@@ -80,12 +86,13 @@ def _matches(value: str, known: frozenset[str]) -> list[tuple[int, int, float]]:
     """(start, end, cost) of everything cheaper than brute force."""
     low, out, n = value.lower(), [], len(value)
     plain = low.translate(LEET)
-    for i in range(n):
+    for i in range(n - 2):
+        if low[i : i + 3] not in _BEGINS and plain[i : i + 3] not in _BEGINS:
+            continue
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            raw, folded = low[i:j], plain[i:j]
-            rank = _RANK.get(raw)
+            rank = _RANK.get(low[i:j])
             extra = 0.0
-            if rank is None and (rank := _RANK.get(folded)) is not None:
+            if rank is None and (rank := _RANK.get(plain[i:j])) is not None:
                 extra = 0.7
             if rank is not None:
                 out.append((i, j, rank + extra + (0.0 if value[i:j].islower() or not value[i:j].isalpha() else 0.5)))
@@ -101,26 +108,28 @@ def _matches(value: str, known: frozenset[str]) -> list[tuple[int, int, float]]:
         unit = m.group(1)
         out.append((*m.span(), sum(map(_size, unit)) + math.log10((m.end() - m.start()) // len(unit))))
     keys = [SHIFTED.get(c, c) for c in low]
-    i = 0
-    while i < n - 1:  # walks over neighbouring keys, and runs of consecutive characters
-        for kind in ("walk", "run"):
-            j, turns, step = i + 1, 0, None
-            while j < n:
-                if kind == "walk":
-                    if keys[j] not in _NEXT.get(keys[j - 1], ()):
-                        break
-                    now = ord(keys[j]) - ord(keys[j - 1])
-                    turns += step is not None and now * step < 0
-                    step = now
-                else:
-                    now = ord(low[j]) - ord(low[j - 1])
-                    if abs(now) != 1 or (step is not None and now != step):
-                        break
-                    step = now
-                j += 1
-            if j - i >= 4 - (kind == "run"):
-                out.append((i, j, (1.7 if kind == "walk" else 1.3) + math.log10(j - i) + 0.6 * turns))
-        i += 1
+    out += _lines(low, 3, 1.3, lambda a, b: abs(ord(b) - ord(a)) == 1, same=True)
+    out += _lines(keys, 4, 1.7, lambda a, b: b in _NEXT.get(a, ()), same=False)
+    return out
+
+
+def _lines(keys, least: int, base: float, follows, same: bool) -> list[tuple[int, int, float]]:
+    """From each place of a run of keys that follow one another to the run's end, with the cost of its turns.
+
+    A run with the `same` step ends where the step changes; its last key may begin the next one.
+    """
+    out, n, i = [], len(keys), 0
+    steps = [ord(b) - ord(a) for a, b in zip(keys, keys[1:], strict=False)]
+    while i < n - 1:
+        j = i
+        while j < n - 1 and follows(keys[j], keys[j + 1]) and not (same and j > i and steps[j] != steps[i]):
+            j += 1
+        turns = 0
+        for k in range(j - 1, i - 1, -1):  # the run from key k to key j
+            turns += k + 1 < j and steps[k] * steps[k + 1] < 0
+            if j + 1 - k >= least:
+                out.append((k, j + 1, base + math.log10(j + 1 - k) + 0.6 * turns))
+        i = max(j, i + 1)
     return out
 
 
@@ -149,14 +158,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def guess_spans(text: str, base: list[tuple[str, int, int]], least: float = LEAST_COST) -> list[tuple[str, int, int]]:
-    """("guess", start, end) of costly values in a credential context that no base span touches."""
+    """("guess", start, end) of costly whole values in a credential context, but for those that lie in a base span."""
     found = []
     if ":" in text or "=" in text:
         found += [m.span(1) for m in _CONTEXT.finditer(text)]
     if "earer" in text or "EARER" in text:
         found += [m.span(1) for m in _BEARER.finditer(text)]
     values = found + [(a, b) for _, a, b in base]
-    found = sorted({(a, b) for a, b in found if not any(a < y and x < b for _, x, y in base)})
+    firsts = sorted((x, y) for _, x, y in base)
+    reach = list(accumulate((y for _, y in firsts), max))
+    # A value's last signs may belong to the sentence around it.
+    found = {(a, b - len(text[a:b]) + len(text[a:b].rstrip(".)]}:!?"))) for a, b in found}
+    found = sorted((a, b) for a, b in found if not ((k := bisect_right(firsts, (a, math.inf))) and reach[k - 1] >= b))
     if not found:
         return []
     # Words that stand outside all values: a value that is repeated is no better known for that.
@@ -167,7 +180,6 @@ def guess_spans(text: str, base: list[tuple[str, int, int]], least: float = LEAS
     known = frozenset(re.findall(r"[^\W\d_]{4,}", " ".join([*outside, text[at:]]).lower()))
     out, upto = [], -1
     for a, b in found:
-        b -= len(text[a:b]) - len(text[a:b].rstrip(".)]}:!?"))
         if a >= upto and b - a >= 6 and guess_cost(text[a:b], known) >= least:
             out.append(("guess", a, b))
             upto = b
@@ -182,7 +194,7 @@ def scan_secrets(documents: DataFrame, least: float = LEAST_COST) -> DataFrame:
     """One row for each row of documents: doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans.
 
     spans has all spans as kind:start:end in code points, end exclusive, by start and then kind, joined by commas. A null
-    text counts as empty; without spans, spans is empty and base_sha256 is that of the empty string. Repeated rows get equal results;
+    text counts as empty, and a text of any length is read whole; without spans, spans is empty and base_sha256 is that of the empty string. Repeated rows get equal results;
     an empty table gives no rows. Only doc_id and text are read.
     """
 
