@@ -108,3 +108,43 @@ def test_training_leaves_the_held_out_fold_alone(spark):
     ids = [int(t.split()[1]) for t, _ in got]
     assert len(got) == 100 and all(zlib.crc32(str(i).encode()) % 3 != 1 for i in ids) and all(y == i % 2 for i, (_, y) in zip(ids, got, strict=True))
     assert training_texts(docs, labels, "toxic", 10) == []
+
+
+def test_numbers_are_no_words_and_long_texts_are_quick():
+    import time
+
+    assert toxicity.fold("Highway 455 and 8008, m0r0n b00") == " highway # and # moron boo "
+    began = time.time()
+    lexicon = toxicity.Lexicon({" moron ": 5.0}, ["moron movie"])
+    text = toxicity.fold("moron movie moron " * 100_000)
+    assert len(lexicon.hits(lexicon.automaton(), text)) == 100_000
+    assert time.time() - began < 20
+
+
+def test_copies_teach_a_lexicon_once():
+    rows = [("strange reheou words of one text", 1)] * 9 + [(f"clean text {chr(97 + i)}", 0) for i in range(9)]
+    assert toxicity.learn(rows).weights == {}
+
+
+def test_a_rare_language_is_learned(spark):
+    rows = [(i, TEXTS["en"], "en") for i in range(900)] + [(5000 + i, TEXTS["de"], "de") for i in range(6)] + [(9000, None, "de"), (9001, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train_language(docs, 50)
+    assert model.languages == ["de", "en"] and "hund" in model.lexicon
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.detect_language(docs, model).collect()}
+    assert got[3] == "en" and got[5003] == "de" and got[9000] == "und"
+
+
+@pytest.mark.parametrize("name, label, least", [("op1_quality", "quality", 0.97), ("op2_toxicity", "toxic", 0.95), ("op4_language", None, 0.97)])
+def test_registered_queries_on_held_out_rows(spark, name, label, least):
+    from weblens.llm.queries import queries
+
+    folder = "/root/testdata/sf0.01"
+    got = queries()[name](spark, folder).where("held_out")
+    if label:
+        want = spark.read.parquet(f"{folder}/labels.parquet").where(f"{label} is not null").select("doc_id", label)
+        both = [r[0] == r[1] for r in got.join(want, "doc_id").select("predicted", label).collect()]
+    else:
+        want = spark.read.parquet(f"{folder}/documents.parquet").where("lang is not null").select("doc_id", "lang")
+        both = [r[0] == r[1] for r in got.join(want, "doc_id").select("lang_pred", "lang").collect()]
+    assert len(both) > 100 and np.mean(both) >= least

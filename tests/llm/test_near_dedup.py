@@ -144,3 +144,19 @@ def test_no_column_is_lost(spark):
     got = out.collect()
     assert sorted(r["doc_id"] for r in got) == list(range(0, 30, 3))
     assert all(tuple(r) in rows for r in got)
+
+
+def test_differing_symbols(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from weblens.llm.near_dedup import _differing
+
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 2**16, size=(200, 8), dtype=np.uint16)
+    b = np.where(rng.random(a.shape) < 0.5, a, rng.integers(0, 2**16, size=a.shape, dtype=np.uint16))
+    b[0], b[1] = a[0] ^ 0x8000, a[1] ^ 1
+    rows = [tuple(int(v) for v in (*x.view("<i8"), *y.view("<i8"), (x != y).sum())) for x, y in zip(a, b, strict=True)]
+    got = spark.createDataFrame(rows, "a0 long, a1 long, b0 long, b1 long, want long")
+    found = _differing([F.col("a0"), F.col("a1")], [F.col("b0"), F.col("b1")])
+    assert got.where(found != F.col("want")).count() == 0

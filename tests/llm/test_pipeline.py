@@ -41,7 +41,7 @@ def test_stages(spark, sf):
             for b in own:
                 if a < b and least[a] != least[b] and own[a] and own[b]:
                     both = len(own[a] & own[b])
-                    if 100 * both >= 85 * len(own[a] | own[b]):
+                    if 100 * both >= corpus_pipeline.NEAR_PERCENT * len(own[a] | own[b]):
                         least[a] = least[b] = min(least[a], least[b])
                         changed = True
     assert ids("near_duplicates") == {k for k, c in least.items() if k == c}

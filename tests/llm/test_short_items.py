@@ -23,3 +23,16 @@ def test_short_items_in_long_texts():
     docs += ["too short", "that is too short a text", ""]
     got = ItemIndex(items).contained(docs, 0.8)
     assert sorted(got, key=str) == brute(list(enumerate(docs)), items) and len(got) > 1500
+
+
+def test_recall_by_item_length():
+    """Items of 1 to 20 shingles, each in a long text, at any place of a stride."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    items = [(n * 1000 + k, " ".join(word() for _ in range(n + 4))) for n in range(1, 21) for k in range(40)]
+    texts = []
+    for _, item in items:
+        before = rng.randint(0, 600)
+        texts.append(" ".join([*(word() for _ in range(before)), item, *(word() for _ in range(600 - before))]))
+    found = {(text, item) for text, item, _, _ in ItemIndex(items).contained(texts, 0.8)}
+    assert found == {(text, item) for text, (item, _) in enumerate(items)}

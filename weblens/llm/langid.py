@@ -1,25 +1,28 @@
 """Language of each word, and of each document, from a linear-chain conditional random field.
 
-A word's features are its prefixes and suffixes, its letter n-grams and the word itself, hashed into one
-weight table; transitions between the languages of neighbouring words are learned with them. Words
+A word's features are its prefixes and suffixes and its letter n-grams, hashed into one weight table, and its entry in
+a lexicon of words that several training documents have; transitions between the languages of neighbouring words are learned with them. Words
 of code-switched text get their own marginals by forward-backward, and a document's language is the
 one with the largest sum of marginals over its words, weighted by letters.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weblens.llm import crf
 from weblens.llm.common import held_out, map_rows, text_or_empty
 
-#: Documents with a language that the model learns from at most, chosen by a hash of their ids.
-TRAINING_DOCUMENTS = 800
+#: Documents of each language that the model learns from at most, chosen by a hash of their ids.
+TRAINING_DOCUMENTS = 200
 BITS = 17
 #: Words in a training sequence.
 SEQUENCE = 6
@@ -41,8 +44,8 @@ def words_of(text: str) -> list[str]:
     return [w[at : at + WIDTH] for w in found for at in range(0, len(w), WIDTH)]
 
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(feature ids of all words one after the other, number of features of each word)."""
+def word_features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(feature ids of all words one after the other, number of features of each word). Ids of the lexicon follow the hashed ones."""
     letters = np.array(words, dtype=f"U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH).astype(np.uint64)
     sizes = np.minimum(np.array([len(w) for w in words]), WIDTH)
     tails = np.array([w[-4:][::-1] for w in words], dtype="U4").view(np.uint32).reshape(len(words), 4).astype(np.uint64)
@@ -69,10 +72,9 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             add(two, 21, sizes > i + 1)
             if i + 2 < longest:
                 add(two + letters[:, i + 2] * _MIX[2], 22, sizes > i + 2)
-    whole = np.zeros(len(words), dtype=np.uint64)
-    for i in range(longest):
-        whole = whole * np.uint64(1_000_003) + letters[:, i]
-    add(whole, 31, np.ones(len(words), dtype=bool))
+    entry = np.fromiter(map(lexicon.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+    columns.append(entry + (1 << BITS))
+    masks.append(entry >= 0)
     table, mask = np.stack(columns, axis=1), np.stack(masks, axis=1)
     return table[mask], mask.sum(axis=1)
 
@@ -81,12 +83,13 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class LanguageModel:
     languages: list[str]
     chain: crf.Chain
+    lexicon: dict[str, int] = field(default_factory=dict)
 
     def emissions(self, words: list[str]) -> np.ndarray:
         out = np.empty((len(words), len(self.languages)), dtype=np.float32)
         for lo in range(0, len(words), 20_000):
             part = words[lo : lo + 20_000]
-            out[lo : lo + 20_000] = crf.emissions(self.chain.weights, *word_features(part))
+            out[lo : lo + 20_000] = crf.emissions(self.chain.weights, *word_features(part, self.lexicon))
         return out
 
 
@@ -156,40 +159,36 @@ def fit(sample: list[tuple[str, str]], rounds: int = 25) -> LanguageModel:
         return LanguageModel(languages or [UNKNOWN], crf.Chain(np.zeros((1 << BITS, width)), zero, zero[0], zero[0]))
     words = [w for ws, _ in texts for w in ws]
     kinds, types = np.unique(np.array(words, dtype=object), return_inverse=True)
-    features, counts = word_features(list(kinds))
+    seen = Counter(w for ws, _ in texts for w in set(ws))
+    lexicon = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n > 1))}
+    features, counts = word_features(list(kinds), lexicon)
     # Short training sequences: over whole documents the transitions alone would explain the labels.
     lengths = np.array([min(SEQUENCE, len(ws) - at) for ws, _ in texts for at in range(0, len(ws), SEQUENCE)])
     labels = np.repeat(np.array([y for _, y in texts]), [len(ws) for ws, _ in texts])
-    chain = crf.train(features, counts, types, labels, lengths, 1 << BITS, width, l2=1.0, rounds=rounds)
+    chain = crf.train(features, counts, types, labels, lengths, (1 << BITS) + len(lexicon), width, l2=1.0, rounds=rounds)
     # Documents of one language never switch, so the learned moves are bounded to leave room for switches.
     chain.transitions = np.clip(chain.transitions, -4.0, 4.0)
-    return LanguageModel(
-        languages, crf.Chain(*(x.astype(np.float32) for x in (chain.weights, chain.transitions, chain.begin, chain.end)))
-    )
+    parts = (x.astype(np.float32) for x in (chain.weights, chain.transitions, chain.begin, chain.end))
+    return LanguageModel(languages, crf.Chain(*parts), lexicon)
 
 
 def train_language(documents: DataFrame, limit: int = TRAINING_DOCUMENTS) -> LanguageModel:
-    """Learn from at most `limit` documents outside the held-out fold that have a language."""
-    ids = (
-        documents.select(F.col("doc_id").alias("k"), "lang")
-        .where(F.col("k").isNotNull() & F.col("lang").isNotNull() & ~held_out("k"))
-        .select("k")
-        .distinct()
-        .orderBy(F.xxhash64("k"), "k")
-        .limit(limit)
-        .collect()
-    )
-    rows = documents.select(F.col("doc_id").alias("k"), text_or_empty().alias("t"), "lang")
-    rows = rows.where(F.col("k").isin([r[0] for r in ids]) & F.col("lang").isNotNull()).collect() if ids else []
-    return fit([(r["t"], r["lang"]) for r in sorted(rows, key=lambda r: (r["k"], r["lang"], r["t"]))])
+    """Learn from at most `limit` documents of each language outside the held-out fold, so that rare languages are learned too."""
+    known = documents.select(F.col("doc_id").alias("k"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"))
+    known = known.where(F.col("k").isNotNull() & F.col("lang").isNotNull() & ~held_out("k"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "k"))
+    ids = {(r["k"], r["lang"]) for r in known.withColumn("place", place).where(F.col("place") <= limit).select("k", "lang").collect()}
+    rows = documents.select(F.col("doc_id").alias("k"), text_or_empty().alias("t"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.where(F.col("k").isin([k for k, _ in ids])).collect() if ids else []
+    return fit([(r["t"], r["lang"]) for r in sorted((r for r in rows if (r["k"], r["lang"]) in ids), key=lambda r: (r["k"], r["lang"], r["t"]))])
 
 
 def detect_language(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """One row for each row of documents: doc_id, held_out, lang_pred, score, n_switched.
 
     A null text, and one without a letter, gets "und" and score 0. n_switched counts the words in another
-    language than the document's, a run of more than WIDTH letters by its pieces. Repeated rows get equal results; an empty table gives no rows. Only doc_id
-    and text are read.
+    language than the document's, a run of more than WIDTH letters by its pieces. Texts of any length are read whole. Repeated rows get equal
+    results; an empty table gives no rows. Only doc_id and text are read.
     """
 
     def make():

@@ -6,9 +6,9 @@ differing symbols that a pair of the asked similarity exceeds with a probability
 the pigeonhole principle, up to a few errors in at least one of the CHUNKS chunks; a chunk is looked up once for each
 allowed set of places of its errors, so all pairs within the distance meet in a bucket.
 
-Equal sets are one class from the start. A bucket is not expanded into pairs: blocks of its members of bounded
-size are compared by signature, and each block gives a spanning forest of the pairs within the distance, which has no more
-edges than members. Their connected components, the families, hold all pairs within the distance.
+Equal sets are one class from the start. A bucket is not expanded into pairs: the members of a large one are compared with its
+first, and only those that are not within the distance of it, in blocks of bounded size, with blocks of all others. Each block gives a
+spanning forest of the pairs within the distance, which has no more edges than members. Their connected components, the families, hold all pairs within the distance.
 
 Links are confirmed on full sets inside families, and leave tasks as spanning forests too: first all members
 with the family's smallest one, then, where a family has members that this did not link, blocks of those
@@ -24,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weblens.llm.common import map_rows, materialize, may_be_among, release_caches, text_or_empty
@@ -36,6 +36,8 @@ SYMBOLS, CHUNKS = 32, 8
 MISSED = 4e-6
 #: Members that one comparison takes on either side, and on the wide side of a confirmation.
 BLOCK, WIDE_BLOCK = 1024, 2048
+#: Shingles on one side of a confirmation, on average, and half of those on the wide side.
+BLOCK_SHINGLES = 1 << 20
 _COLUMNS = [f"s{i}" for i in range(CHUNKS)]
 
 
@@ -172,20 +174,19 @@ def _families(met: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """(vid, family) of all classes that have another one within the distance.
 
     Linked sets differ in size by less than one band, so a member joins those of its own band and of the next
-    one, and only a band that still has too many members is dealt into pairs of blocks.
+    one. Only members of a large band that are far from its first one are dealt into pairs of blocks.
     """
     width, most = math.log(100 / percent) * 1.001, distance(percent)
     rows = met.join(signatures.select("vid", F.floor(F.log("n") / width).cast("int").alias("own")), "vid")
     rows = rows.withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     many = rows.groupBy("key", "band").agg(F.count("*").alias("members")).where("members > 1")
-    many = many.select("key", "band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(many, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        "key", "band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "own", "vid"
-    )
+    rows = rows.join(many, ["key", "band"]).join(signatures, "vid")
+    large = materialize(_stars(rows.where(F.col("members") > BLOCK), percent, most), "bucket-stars")
+    zero = F.lit(0)
+    small = rows.where(F.col("members") <= BLOCK).select("key", "band", zero.alias("i"), zero.alias("j"), zero.alias("block"), "own", "vid", "n", *_COLUMNS)
+    rows = small.unionByName(_dealt_buckets(large))
     group = ["key", "band", "i", "j"]
-    rows = rows.join(signatures, "vid").repartition(*group).sortWithinPartitions(*group, "vid")
+    rows = rows.repartition(*group).sortWithinPartitions(*group, "vid")
     names = rows.columns
 
     def near_forest(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -210,9 +211,51 @@ def _families(met: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
         return _edges(vid[forest.taken[0]].tolist(), vid[forest.taken[1]].tolist())
 
     edges = rows.mapInArrow(_grouped(names, group, near_forest), "a long, b long")
+    edges = edges.unionByName(large.where("near and vid <> first").select(F.col("vid").alias("a"), F.col("first").alias("b")))
     return connected_components(edges).select(F.col("id").alias("vid"), F.col("component").alias("family"))
 
 
+def _differing(a: list[Column], b: list[Column]) -> Column:
+    """Symbols that differ between two signatures: 16-bit lanes whose exclusive or is not zero."""
+    counts = []
+    for x, y in zip(a, b, strict=True):
+        d = x.bitwiseXOR(y)
+        for shift, mask in ((8, 0x00FF), (4, 0x000F), (2, 0x0003), (1, 0x0001)):  # any bit of a lane ends in its lowest one
+            d = d.bitwiseOR(F.shiftrightunsigned(d, shift)).bitwiseAND(F.lit(mask * 0x0001000100010001))
+        counts.append(F.bit_count(d))
+    return sum(counts[1:], counts[0])
+
+
+def _stars(rows: DataFrame, percent: int, most: int) -> DataFrame:
+    """rows of large buckets with the bucket's first member, and whether that is within the distance."""
+    firsts = rows.groupBy("key", "band").agg(F.min(F.struct("vid", "n", "own", *_COLUMNS)).alias("f"))
+    both = rows.join(firsts, ["key", "band"])
+    n, other = F.col("n"), F.col("f.n")
+    near = F.greatest("own", "f.own") == F.col("band")
+    near &= F.least(n, other) * 100 >= F.greatest(n, other) * percent
+    near &= _differing([F.col(c) for c in _COLUMNS], [F.col(f"f.{c}") for c in _COLUMNS]) <= most
+    near |= F.col("vid") == F.col("f.vid")
+    return both.select("key", "band", "own", "vid", "n", *_COLUMNS, F.col("f.vid").alias("first"), near.alias("near"))
+
+
+def _dealt_buckets(large: DataFrame) -> DataFrame:
+    """Rows of large buckets as blocks of members that are not near the first one, each with blocks of all members.
+
+    A bucket whose members are all near its first one has none. i is negative, so only members of different `block` are compared.
+    """
+    sizes = large.groupBy("key", "band").agg(F.count("*").alias("members"), F.sum((~F.col("near")).cast("int")).alias("apart"))
+    sizes = sizes.where("apart > 0").select(
+        "key", "band", F.ceil(F.col("apart") / BLOCK).cast("int").alias("p"), F.ceil(F.col("members") / WIDE_BLOCK).cast("int").alias("q")
+    )
+    turn = F.xxhash64("vid")
+    own_p, own_q = (F.pmod(turn, F.col(k)).cast("int") for k in "pq")
+    wide = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda k: F.struct((-1 - k).alias("i"), own_q.alias("j"), F.lit(0).alias("block")))
+    apart = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda k: F.struct((-1 - own_p).alias("i"), k.alias("j"), F.lit(1).alias("block")))
+    to = F.explode(F.when(F.col("near"), wide).otherwise(F.concat(wide, apart))).alias("to")
+    rows = large.join(sizes, ["key", "band"]).select("key", "band", "own", "vid", "n", *_COLUMNS, to)
+    return rows.select("key", "band", "to.i", "to.j", "to.block", "own", "vid", "n", *_COLUMNS)
+
+
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) that span the links of sets(vid, n, shingles, family)."""
     first = sets.where("vid = family").select(
@@ -222,12 +265,17 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     common = F.size(F.array_intersect("shingles", "of_first"))
     both = both.select("vid", "family", "n", "n_first", common.alias("common"))
     union = F.col("n") + F.col("n_first") - F.col("common")
-    stars = materialize(both.select("vid", "family", (F.col("common") * 100 >= union * percent).alias("linked")), "stars")
+    stars = materialize(both.select("vid", "family", "n", (F.col("common") * 100 >= union * percent).alias("linked")), "stars")
     # Members that their family's first one is not linked with, in blocks, with blocks of all its members.
     apart = stars.where("not linked").select("vid", F.lit(True).alias("apart"))
+    left = (~F.col("linked")).cast("int")
+
+    def blocks(count, shingles, most: int, most_shingles: int):
+        return F.ceil(F.greatest(count / most, shingles / most_shingles)).cast("int")
+
     sizes = stars.groupBy("family").agg(
-        F.ceil(F.sum(F.when(F.col("linked"), 0).otherwise(1)) / BLOCK).cast("int").alias("p_blocks"),
-        F.ceil((F.count("*") + 1) / WIDE_BLOCK).cast("int").alias("q_blocks"),
+        blocks(F.sum(left), F.sum(left * F.col("n")), BLOCK, BLOCK_SHINGLES).alias("p_blocks"),
+        blocks(F.count("*") + 1, F.sum("n"), WIDE_BLOCK, 2 * BLOCK_SHINGLES).alias("q_blocks"),
     )
     rows = sets.join(sizes.where("p_blocks > 0"), "family").join(apart, "vid", "left")
     rows = rows.withColumn("apart", F.coalesce("apart", F.lit(False)))

@@ -1,6 +1,6 @@
 """Toxicity from a weighted lexicon matched by an Aho-Corasick automaton over folded text.
 
-Folding lower-cases the text, maps homoglyphs and digit or sign substitutions to the letters they
+Folding lower-cases the text, maps homoglyphs, and digits and signs that touch letters, to the letters they
 stand for, and turns other signs to blanks, so every term is searched as " term" (the start of a word)
 or " term " (a whole word). Terms and weights are learned from labelled training documents. A
 word's weight is that of its heaviest term; words inside an exception phrase don't count. A document's
@@ -10,9 +10,12 @@ hits, as they stand and normalised by its length, give its score.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -48,7 +51,7 @@ class _Fold(dict):
         if c in HOMOGLYPHS:
             out = HOMOGLYPHS[c]
         elif c in SUBSTITUTES:
-            out = SUBSTITUTES[c]
+            out = c
         elif c.isalpha():
             out = unicodedata.normalize("NFKC", c).lower()
             out = HOMOGLYPHS.get(out, out)
@@ -64,9 +67,15 @@ class _Fold(dict):
 _FOLD = _Fold()
 
 
+_SIGNS = "".join(map(re.escape, SUBSTITUTES))
+_ALONE = re.compile(rf"(?<![^\s])[{_SIGNS}]+(?![^\s])")
+_LETTERS = str.maketrans(SUBSTITUTES)
+
+
 def fold(text: str) -> str:
-    """Words of folded letters with one blank before, between and after them."""
-    return f" {' '.join(text.lower().translate(_FOLD).split())} "
+    """Words of folded letters with one blank before, between and after them. A number that stands alone is the word "#"."""
+    plain = _ALONE.sub("#", text.lower().translate(_FOLD)).translate(_LETTERS)
+    return f" {' '.join(plain.split())} "
 
 
 @dataclass
@@ -99,7 +108,12 @@ class Lexicon:
                 spared.append((start, end))
             elif weight > weights.get(start, 0.0):
                 weights[start] = weight
-        return {i: w for i, w in weights.items() if not any(a <= i < b for a, b in spared)} if spared else weights
+        if not spared:
+            return weights
+        # Phrases come by their ends. The furthest end of those that start at or before a word tells whether one holds it.
+        spared.sort()
+        starts, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+        return {i: w for i, w in weights.items() if not ((k := bisect_right(starts, i)) and reach[k - 1] > i)}
 
     def figures(self, automaton, text: str) -> list[float]:
         folded = fold(text)
@@ -112,16 +126,15 @@ class Lexicon:
 
 def _terms(text: str) -> set[str]:
     out = set()
-    for word in set(fold(text).split()):
+    for word in set(fold(text).split()) - {"#"}:
         out.add(f" {word} ")
         out.update(f" {word[:k]}" for k in STEMS if k <= len(word))
     return out
 
 
 def learn(sample: list[tuple[str, int]]) -> Lexicon:
-    """A lexicon and its calibration from (text, toxic) pairs. Without toxic pairs nothing is toxic."""
-    toxic = [t for t, y in sample if y]
-    clean = [t for t, y in sample if not y]
+    """A lexicon and its calibration from (text, toxic) pairs. Copies of a text count once. Without toxic pairs nothing is toxic."""
+    toxic, clean = (list(dict.fromkeys(t for t, y in sample if bool(y) == kind)) for kind in (True, False))
     seen, other = Counter(), Counter()
     for text in toxic:
         seen.update(_terms(text))
@@ -188,7 +201,7 @@ def score_toxicity(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     """One row for each row of documents: doc_id, held_out, score, predicted, n_hits, spans.
 
     spans has the hits as "word:weight" in text order. A null or empty text has no hit and gets the
-    score of clean texts. Repeated rows get equal scores. An empty table gives no rows. Only doc_id and text are read.
+    score of clean texts; a very long text is read whole, in time in proportion to its length. Repeated rows get equal scores. An empty table gives no rows. Only doc_id and text are read.
     """
 
     def make():
