@@ -39,9 +39,9 @@ MAGIC = b"WLTOKEN1"
 _TRAILER = struct.Struct("<8sB7xQQQqQQ")
 END_ID = 0
 #: Bytes of pieces and their ids that a Python worker keeps, and what a piece takes besides its letters.
-KEPT_BYTES, PIECE_BYTES = 100_000_000, 200
+KEPT_BYTES, PIECE_BYTES = 80_000_000, 200
 #: Bytes of texts that are cut at a time, unless one text alone is longer.
-BATCH_BYTES = 12_000_000
+BATCH_BYTES = 6_000_000
 #: Pieces that are encoded in one call's text, and pieces whose ids are gathered at a time.
 TOGETHER, GATHERED = 500, 1 << 20
 
@@ -274,6 +274,8 @@ def encode_documents(documents: DataFrame, tokenizer: str, bounds: list[int], fi
                 bucket = np.where(null, (turn * first) >> 20, first + low + ((turn * np.maximum(high - low, 1)) >> 20))
                 ids = encoder.encode(part.column(2))
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), doc_id, ids], schema=out)
+                del ids
+                pa.default_memory_pool().release_unused()
 
     turn = F.pmod(F.xxhash64("text"), F.lit(1 << 20)).alias("turn")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
