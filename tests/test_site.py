@@ -167,3 +167,12 @@ def test_tables(spark, tmp_path):
 def test_rules_are_complete():
     codes = [c for c, *_ in rules.PAGE_RULES + rules.SITE_RULES]
     assert len(codes) == len(set(codes)) == 65 and len(rules.PAGE_RULES) == 36
+
+
+def test_replay_stays_on_the_site(spark):
+    f = spark.createDataFrame([(u, u, 200, "text/html", None) for u in ("https://e.com/", "https://e.com/a", "https://x.org/b")], "key string, url string, status_code int, content_type string, redirect_to string")
+    e = spark.createDataFrame([("https://e.com/", u, u, i, False) for i, u in enumerate(("https://e.com/a", "https://x.org/b", "mailto:a@e.com"))], "src string, dst string, url string, pos int, nofollow boolean")
+    m = spark.createDataFrame([("https://x.org/s", "https://x.org/s")], "key string, url string")
+    keys = lambda **o: {r["key"] for r in crawl.replay(f, e, "https://e.com/", crawl.CrawlOptions(**o), m).collect()}
+    assert keys() == {"https://e.com/", "https://e.com/a"}
+    assert keys(same_domain_only=False) == {"https://e.com/", "https://e.com/a", "https://x.org/b", "https://x.org/s"}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weblens.functions.text import short
-from weblens.operators.rules import SEVERITIES
+from weblens.operators.rules import SEVERITIES, advice
 
 #: Characters of an issue's value in a report.
 FOUND = 300
@@ -44,7 +44,8 @@ def markdown(audited: DataFrame, key: str = "page_id") -> DataFrame:
     def section(severity: str) -> Column:
         own = F.filter("issues", lambda x: x["severity"] == severity)
         found = lambda x: F.when(x["value"].isNotNull(), F.concat(F.lit(" — Found: "), cell(short(x["value"], FOUND)))).otherwise("")
-        lines = F.transform(own, lambda x: F.concat(F.lit("- **"), x["code"], F.lit("** ×"), x["count"].cast("string"), found(x)))
+        todo = lambda x: F.coalesce(F.concat(F.lit("\n  "), advice(x["code"])), F.lit(""))
+        lines = F.transform(own, lambda x: F.concat(F.lit("- **"), x["code"], F.lit("** ×"), x["count"].cast("string"), found(x), todo(x)))
         return F.when(F.size(own) > 0, F.concat(F.lit(f"## {severity.capitalize()}\n\n"), F.array_join(lines, "\n")))
 
     text = F.concat_ws("\n\n", F.concat(F.lit("# Page audit: "), F.col("url")), table, header_line(), *map(section, SEVERITIES))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weblens.operators.rules import category_of, rule_table, severity_rank
+from weblens.operators.rules import PAGE_RULES, SITE_RULES, advice, category_of, rule_table, severity_rank
 
 EXAMPLES = 5
 #: Detections that a missing head explains.
@@ -23,6 +23,13 @@ def duplicates(pages: DataFrame, column: str, key: str = "page_id") -> DataFrame
     return rows.join(sizes, "value").select(key, "shared_with")
 
 
+def duplicate_issues(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(code, count): pages that share their title or meta description with another one. No row where none does."""
+    parts = (("DUPLICATE_TITLE", "title"), ("DUPLICATE_META_DESCRIPTION", "meta_description"))
+    first, second = (duplicates(pages, c, key).groupBy().agg(F.count("*").alias("count")).select(F.lit(code).alias("code"), "count") for code, c in parts)
+    return first.unionByName(second).where(F.col("count") > 0)
+
+
 def root_causes(issues: DataFrame, key: str = "page_id", rendered: Column | None = None) -> DataFrame:
     """(key, code, root_cause): detections that stem from one defect of their page.
 
@@ -48,7 +55,7 @@ def root_cause_rollup(explained: DataFrame) -> DataFrame:
 
 
 def issue_rollup(issues: DataFrame, total: int, explained: DataFrame | None = None, key: str = "page_id") -> DataFrame:
-    """(code, category, severity, n, independent_n, pct) of all detections, passed groups left out.
+    """(code, n, independent_n, category, severity, recommendation, pct) of all detections, passed groups left out.
 
     Ordered by severity, count and code for whoever collects it.
     """
@@ -60,7 +67,7 @@ def issue_rollup(issues: DataFrame, total: int, explained: DataFrame | None = No
     out = rows.groupBy("code").agg(
         F.count("*").alias("n"), F.sum(F.col("root_cause").isNull().cast("long")).alias("independent_n")
     )
-    rules = F.broadcast(rule_table(issues.sparkSession).select("code", "category", "severity"))
+    rules = F.broadcast(rule_table(issues.sparkSession).select("code", "category", "severity", "recommendation"))
     out = out.join(rules, "code").withColumn("pct", F.round(100 * F.col("n") / F.lit(total), 2))
     return out.orderBy(severity_rank(F.col("severity")), F.desc("n"), "code")
 
@@ -72,9 +79,9 @@ def issue_examples(issues: DataFrame, key: str = "page_id", most: int = EXAMPLES
 
 
 def findings(site: DataFrame, causes: DataFrame, rollup: DataFrame, folded: bool = False) -> DataFrame:
-    """(level, code, severity, affected): one list of what to do, most severe and most frequent first.
+    """(level, code, severity, affected, share_of, recommendation): one list of what to do, most severe and most frequent first.
 
-    site(code, severity, affected), causes(root_cause, affected) and rollup(code, severity, independent_n). With
+    share_of says what affected is a share of. site(code, severity, affected), causes(root_cause, affected) and rollup(code, severity, independent_n). With
     `folded`, the site's issue about canonicals to non-indexable targets is part of a root cause already.
     """
     own = site.where("code <> 'CANONICAL_TO_NON_INDEXABLE'") if folded else site
@@ -90,6 +97,8 @@ def findings(site: DataFrame, causes: DataFrame, rollup: DataFrame, folded: bool
         ),
     ]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    of = F.create_map(*(F.lit(x) for code, *_ in PAGE_RULES + SITE_RULES for x in (code, denominator(code))))
+    out = out.withColumn("share_of", F.coalesce(of[F.col("code")], F.lit("html_pages_ok"))).withColumn("recommendation", advice(F.col("code")))
     return out.orderBy(severity_rank(F.col("severity")), F.desc("affected"), "level", "code")
 
 

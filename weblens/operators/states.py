@@ -37,7 +37,7 @@ def page_states(pages: DataFrame, targets: DataFrame | None = None) -> DataFrame
     )
     document = F.col("kind") == "document"
     renderable = (
-        F.when(blocked | ~document | (F.col("fetchable") == F.lit(False)) | (status != "ok"), unknown)
+        F.when(blocked | ~document | (F.col("fetchable") == F.lit(False)) | (status != "ok") | (F.col("render_status") == "skipped"), unknown)
         .when(F.col("render_status") == "failed", no)
         .otherwise(yes)
     )
@@ -65,7 +65,7 @@ def page_states(pages: DataFrame, targets: DataFrame | None = None) -> DataFrame
     rows = rows.withColumn("indexable", indexable).withColumn("index_reason", reason)
     if targets is None:
         live = F.coalesce(code, F.lit(0)) < 400
-        targets = rows.groupBy("key").agg(F.max((status == "ok") & live & F.coalesce("indexable", F.lit(True))).alias("ok"))
+        targets = rows.groupBy("key").agg(F.max((status == "ok") & live).alias("ok"))
     known = targets.select(F.col("key").alias("canonical_key"), F.col("ok").alias("target_ok"))
     rows = rows.join(known, "canonical_key", "left")
     given = F.coalesce("canonical_url", F.lit("")) != ""

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from weblens.functions import text as T
 from weblens.functions import urls as U
 from weblens.operators import audit, crawl, graph, pages, render, report, rollup, states
-from weblens.operators.rules import rule_table
+from weblens.operators.rules import ADVICE, rule_table
 from weblens.plans import site as S
 from weblens.sources import sitemaps
 from weblens.sources.html import parse_raw
@@ -226,7 +226,7 @@ scores AS (SELECT m.page_id, greatest(0, least(100, 100 - coalesce(sum(CASE seve
 def _rules_sql() -> str:
     from weblens.operators.rules import PAGE_RULES
 
-    return _values([(c, g, s) for c, g, s, _ in PAGE_RULES])
+    return _values(PAGE_RULES)
 
 
 def _audit_sql(rest: str) -> str:
@@ -300,6 +300,23 @@ def duplicate_title(spark, sf):
     return rollup.duplicates(parse_raw(S.pages_table(spark, sf)).select("page_id", "title"), "title")
 
 
+@_query("""
+WITH t AS (SELECT lower(trim(regexp_extract(html, '<title>([^<]*)</title>', 1))) AS v FROM pages)
+SELECT 'DUPLICATE_TITLE' AS code, count(*) AS count FROM (SELECT 1 FROM t WHERE v <> '' QUALIFY count(*) OVER (PARTITION BY v) > 1)""")
+def duplicate_issues(spark, sf):
+    return rollup.duplicate_issues(parse_raw(S.pages_table(spark, sf)).select("page_id", "title", "meta_description")).where("code = 'DUPLICATE_TITLE'")
+
+
+_ADVICE = ", ".join("('{}', '{}')".format(code, text.replace("'", "''")) for code, text in ADVICE.items())
+
+
+@_query(_audit_sql(f"SELECT code, count(*) AS n, recommendation FROM issues JOIN (VALUES {_ADVICE}) v(code, recommendation) USING (code) GROUP BY ALL"))
+def issue_recommendations(spark, sf):
+    source = S.pages_table(spark, sf)
+    rows = audit.issue_rows(audit.audit_pages(pages.parse_pages(source)), "page_id")
+    return rollup.issue_rollup(rows, source.count()).select("code", "n", "recommendation")
+
+
 _HEADS = [(p, k, v) for p, levels in enumerate(([1, 2, 3], [1, 3, 2, 4], [3, 4, 6], [2], [1, 1, 5, 6], [6, 1, 2])) for k, v in enumerate(levels)]
 
 
@@ -629,4 +646,4 @@ def findings_union(spark, sf):
         "code string, severity string, affected int",
     )
     causes = rollup.root_causes(_detections(spark), "url", F.col("rendered")).groupBy("root_cause").agg(F.countDistinct("url").alias("affected"))
-    return rollup.findings(site_level, causes, rollup.issue_rollup(issues, source.count()), folded=True)
+    return rollup.findings(site_level, causes, rollup.issue_rollup(issues, source.count()), folded=True).select("level", "code", "severity", "affected")

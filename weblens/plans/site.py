@@ -113,7 +113,7 @@ canon AS (
   SELECT s.*, CASE WHEN s.crawl_status = 'blocked_robots' OR s.crawl_status <> 'ok' OR s.status_code >= 400 THEN 'not_analyzed'
       WHEN s.key % 6 = 0 THEN 'missing_implicit_self' WHEN s.key % 6 = 4 THEN 'invalid' WHEN s.key % 6 IN (1, 5) THEN 'self'
       WHEN s.key % 6 = 3 THEN 'private_host'
-      WHEN NOT (t.crawl_status = 'ok' AND coalesce(t.status_code, 0) < 400 AND coalesce(t.indexable, true)) THEN 'target_not_indexable' ELSE 'other_url' END AS canonical_status
+      WHEN NOT (t.crawl_status = 'ok' AND coalesce(t.status_code, 0) < 400) THEN 'target_not_indexable' ELSE 'other_url' END AS canonical_status
   FROM states s LEFT JOIN states t ON s.canonical_key = t.key),
 full_states AS (
   SELECT *, CASE WHEN canonical_status = 'not_analyzed' THEN NULL ELSE canonical_status IN ('missing_implicit_self', 'self') END AS canonical FROM canon)
