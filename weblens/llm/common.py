@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,13 +36,15 @@ def held_out(column: str = "doc_id") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset, as in tests, a folder of
-    this machine is set.
+    The cluster names it in spark.checkpoint.dir. Only where that is unset and Spark runs on this machine alone, as in tests, a folder of
+    this machine is set; a cluster without it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         base = spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "weblens-checkpoints")
         spark.sparkContext.setCheckpointDir(base)
     elif spark.sparkContext.getCheckpointDir() is None:
