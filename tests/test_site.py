@@ -102,7 +102,8 @@ def test_replay(spark):
     }
     assert got["/missing"]["status_code"] == 404 and got["/a"]["in_sitemap"] and got["/only-sitemap"]["via"] == "sitemap"
     few = crawl.replay(f, e, "https://e.com/", crawl.CrawlOptions(max_pages=3, use_sitemaps=False), None, blocked)
-    assert few.where("crawl_status <> 'blocked_robots'").count() == 3
+    # Three requests: a redirect's target, /c, comes with the redirect.
+    assert {r["key"].removeprefix("https://e.com") for r in few.where("crawl_status <> 'blocked_robots'").collect()} == {"/", "/a", "/old", "/c"}
     shallow = crawl.replay(f, e, "https://e.com/", crawl.CrawlOptions(max_depth=1, use_sitemaps=False))
     assert shallow.agg(F.max("depth")).first()[0] == 1
 
@@ -171,8 +172,34 @@ def test_rules_are_complete():
 
 def test_replay_stays_on_the_site(spark):
     f = spark.createDataFrame([(u, u, 200, "text/html", None) for u in ("https://e.com/", "https://e.com/a", "https://x.org/b")], "key string, url string, status_code int, content_type string, redirect_to string")
-    e = spark.createDataFrame([("https://e.com/", u, u, i, False) for i, u in enumerate(("https://e.com/a", "https://x.org/b", "mailto:a@e.com"))], "src string, dst string, url string, pos int, nofollow boolean")
-    m = spark.createDataFrame([("https://x.org/s", "https://x.org/s")], "key string, url string")
+    e = spark.createDataFrame([("https://e.com/", u, u, i, False) for i, u in enumerate(("https://e.com/a", "https://x.org/b", "mailto:a@e.com", "https://shop.e.com/c"))], "src string, dst string, url string, pos int, nofollow boolean")
+    m = spark.createDataFrame([(u, u) for u in ("https://x.org/s", "https://shop.e.com/s")], "key string, url string")
     keys = lambda **o: {r["key"] for r in crawl.replay(f, e, "https://e.com/", crawl.CrawlOptions(**o), m).collect()}
     assert keys() == {"https://e.com/", "https://e.com/a"}
-    assert keys(same_domain_only=False) == {"https://e.com/", "https://e.com/a", "https://x.org/b", "https://x.org/s"}
+    assert keys(same_domain_only=False) == {"https://e.com/", "https://e.com/a", "https://shop.e.com/c", "https://shop.e.com/s"}
+
+
+def test_replay_limits(spark):
+    """Redirects cost one request, a page's own nofollow and its duplicates aren't followed, and what stays out is counted."""
+    site = "https://e.com"
+    fetched = [("/", 200, None, False), ("/old", 301, "/new", False), ("/new", 200, None, False), ("/quiet", 200, None, True), ("/far", 200, None, False), ("/off", 301, None, False)]
+    f = spark.createDataFrame([(site + u, site + u, c, "text/html", site + r if r else "https://x.org/" if u == "/off" else None, n) for u, c, r, n in fetched], "key string, url string, status_code int, content_type string, redirect_to string, nofollow boolean")
+    edges = [("/", "/old", False), ("/", "/quiet", False), ("/", "/off", False), ("/", "/skip-me", False), ("/", "/twice", True), ("/quiet", "/hidden", False), ("/new", "/far", False)]
+    e = spark.createDataFrame([(site + a, site + b, site + b, i, False, "internal", d) for i, (a, b, d) in enumerate(edges)], "src string, dst string, url string, pos int, nofollow boolean, type string, is_duplicate boolean")
+    m = spark.createDataFrame([(site + u, site + u) for u in ("/new", "/s1", "/s2")], "key string, url string")
+
+    def run(**o):
+        c = crawl.run_crawl(f, e, o.pop("start", site + "/"), crawl.CrawlOptions(exclude_patterns=("skip",), **o), m)
+        return {r["key"].removeprefix(site): r["depth"] for r in c.pages.collect()}, crawl.diagnostics(c).first().asDict()
+
+    depths, row = run(max_depth=1)
+    assert depths == {"/": 0, "/old": 1, "/quiet": 1, "/off": 1, "/new": 1, "/s1": None, "/s2": None}
+    assert row == {
+        "discovered_urls": 7, "crawled_ok": 5, "redirects": 2, "non_html": 0, "failed": 0, "blocked_by_robots": 0, "skipped_depth": 1,
+        "skipped_pattern": 1, "skipped_max_pages": 0, "sitemap_urls": 3,
+    }
+    depths, row = run(max_pages=2)
+    assert depths == {"/": 0, "/old": 1, "/new": 1} and row["skipped_max_pages"] == 5 and row["discovered_urls"] == 6
+    depths, row = run(start=site + "/sitemap.xml", use_sitemaps=False)
+    assert depths["/"] == 0 and "/s1" in depths and depths["/far"] == 2
+    assert run(use_sitemaps=False)[1]["sitemap_urls"] == 0

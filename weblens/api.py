@@ -42,6 +42,11 @@ def crawl_site(fetches: DataFrame, links: DataFrame, start: str, options: crawl.
     return crawl.replay(fetches, links, start, options or crawl.CrawlOptions(), **more)
 
 
+def crawl_result(fetches: DataFrame, links: DataFrame, start: str, options: crawl.CrawlOptions | None = None, **more: DataFrame) -> DataFrame:
+    """One row of counters about the crawl."""
+    return crawl.diagnostics(crawl.run_crawl(fetches, links, start, options or crawl.CrawlOptions(), **more))
+
+
 def list_pages(rows: DataFrame, crawl_status: str | None = None, indexable: bool | None = None, issue: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
     """Pages by depth, sitemap-only ones last, then key. An unknown state matches neither True nor False."""
     if crawl_status is not None:
