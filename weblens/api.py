@@ -63,10 +63,10 @@ def list_links(links: DataFrame, internal: bool | None = None, limit: int = 500,
     return rows.orderBy("id").offset(offset).limit(limit)
 
 
-def site_issues(site: DataFrame, links: DataFrame) -> DataFrame:
-    """(code, count) of all site rules over pages and links."""
-    of_pages = states.site_issues(states.page_states(site)).select("code", "count")
-    return of_pages.unionByName(graph.architecture_issues(site, links, graph.page_flags(site, links)))
+def site_issues(site: DataFrame, links: DataFrame, use_sitemaps: bool = True, sitemap_complete: bool = False) -> DataFrame:
+    """(rn, code, severity, count) of all site rules over pages and links, in the order of the list."""
+    of_pages = states.site_issues(states.page_states(site), use_sitemaps, sitemap_complete)
+    return rollup.merge_site_issues(of_pages, graph.architecture_issues(site, links, graph.page_flags(site, links)))
 
 
 def architecture(site: DataFrame, links: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame]:

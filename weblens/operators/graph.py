@@ -175,6 +175,28 @@ def architecture_issues(pages: DataFrame, links: DataFrame, flagged: DataFrame)
     return broken.unionByName(moved).unionByName(flags)
 
 
+def broken_targets(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """(code, links, targets): broken links and the distinct URLs that they lead to, of pages and of other resources."""
+    code = F.when(F.col("kind") == "document", "BROKEN_INTERNAL_LINKS").otherwise("BROKEN_RESOURCE_LINKS")
+    return broken_links(pages, links).groupBy(code.alias("code")).agg(F.count("*").alias("links"), F.countDistinct("dst").alias("targets"))
+
+
+def graph_summary(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: pages, links followed, the mean of unique_in to one decimal, and the largest depth; 0 where there is nothing."""
+    rows = pages.where(live()).select("key", "depth").join(inlinks_outlinks(pages, links), "key")
+    rows = rows.agg(
+        F.count("*").alias("pages"), F.coalesce(F.round(F.avg("unique_in"), 1), F.lit(0.0)).alias("avg_unique_in"),
+        F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"),
+    )
+    return rows.crossJoin(followed(pages, links).agg(F.count("*").alias("followed_links")))  # one row each
+
+
+def ordered_depths(distribution: DataFrame) -> DataFrame:
+    """(rn, depth_key, n): depths as numbers, sitemap_only last. One row for each depth, so one task orders them."""
+    place = F.row_number().over(Window.orderBy(F.expr("try_cast(depth_key as int)").asc_nulls_last(), "depth_key"))
+    return distribution.select(place.alias("rn"), "depth_key", "n")
+
+
 def depth_distribution(pages: DataFrame) -> DataFrame:
     return pages.where(live()).groupBy(F.coalesce(F.col("depth").cast("string"), F.lit("sitemap_only")).alias("depth_key")).agg(F.count("*").alias("n"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weblens.functions import urls as U
 from weblens.operators.rules import PAGE_RULES, SITE_RULES, advice, category_of, rule_table, severity_rank
 
 EXAMPLES = 5
@@ -54,60 +55,143 @@ def root_cause_rollup(explained: DataFrame) -> DataFrame:
     return explained.groupBy("root_cause", "code").agg(F.count("*").alias("n"))
 
 
+def root_cause_summary(explained: DataFrame, total: int, key: str = "page_id") -> DataFrame:
+    """(root_cause, severity, affected, pct, detections): pages that a cause affects, and how often each code was seen there."""
+    codes = root_cause_rollup(explained).groupBy("root_cause").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "n")))).alias("detections")
+    )
+    rows = explained.groupBy("root_cause").agg(F.countDistinct(key).alias("affected")).join(codes, "root_cause")
+    severity = F.create_map(*(F.lit(x) for pair in ROOT_CAUSES.items() for x in pair))[F.col("root_cause")]
+    return rows.select("root_cause", severity.alias("severity"), "affected", share(F.col("affected"), F.lit(total)).alias("pct"), "detections")
+
+
+def private_hosts(explained: DataFrame, hosts: DataFrame, key: str = "page_id") -> DataFrame:
+    """(host, n): pages that name each private host, of those with that root cause. hosts(key, host)."""
+    pages = explained.where("root_cause = 'PRIVATE_BASE_URL_CONFIGURATION'").select(key).distinct()
+    return hosts.select(key, "host").distinct().join(pages, key, "left_semi").groupBy("host").agg(F.count("*").alias("n"))
+
+
+def share(n: Column, total: Column) -> Column:
+    """n in percent of total, to two decimals; null without a total."""
+    return F.round(100 * n / F.when(total > 0, total), 2)
+
+
+def audited_documents(pages: DataFrame) -> DataFrame:
+    """Rows that rollups are about: documents that were fetched without an error and have an audit."""
+    kind = U.resource_type(F.col("url"), F.col("content_type"), F.col("status_code"))
+    fine = F.col("status_code").isNull() | (F.col("status_code") < 400)
+    return pages.where((F.col("crawl_status") == "ok") & F.col("audit").isNotNull() & fine & (kind == "document"))
+
+
 def issue_rollup(issues: DataFrame, total: int, explained: DataFrame | None = None, key: str = "page_id") -> DataFrame:
-    """(code, n, independent_n, category, severity, recommendation, pct) of all detections, passed groups left out.
+    """(code, n, independent_n, explained, category, severity, recommendation, pct, drilldown) of all detections, passed groups left out.
 
-    Ordered by severity, count and code for whoever collects it.
+    explained says how many detections each root cause accounts for. Ordered by severity, count and code for whoever collects it.
     """
     rows = issues
     if explained is not None:
         rows = rows.join(explained.select(key, "code", "root_cause"), [key, "code"], "left")
     else:
         rows = rows.withColumn("root_cause", F.lit(None).cast("string"))
+    by_cause = F.create_map(*(x for c in ROOT_CAUSES for x in (F.lit(c), F.count(F.when(F.col("root_cause") == c, 1)))))
     out = rows.groupBy("code").agg(
-        F.count("*").alias("n"), F.sum(F.col("root_cause").isNull().cast("long")).alias("independent_n")
+        F.count("*").alias("n"), F.sum(F.col("root_cause").isNull().cast("long")).alias("independent_n"), by_cause.alias("explained")
     )
+    out = out.withColumn("explained", F.map_filter("explained", lambda _, n: n > 0))
     rules = F.broadcast(rule_table(issues.sparkSession).select("code", "category", "severity", "recommendation"))
     out = out.join(rules, "code").withColumn("pct", F.round(100 * F.col("n") / F.lit(total), 2))
+    of_pages = F.col("code").isin(*(code for code, *_ in PAGE_RULES))
+    out = out.withColumn("drilldown", F.when(of_pages, drilldown(F.col("code"))))
     return out.orderBy(severity_rank(F.col("severity")), F.desc("n"), "code")
 
 
+def drilldown(code: Column) -> Column:
+    """Where the pages with an issue are listed."""
+    return F.concat(F.lit("pages?issue="), code, F.lit("&include_audit=true"))
+
+
+def merge_site_issues(site: DataFrame, architecture: DataFrame) -> DataFrame:
+    """(rn, code, severity, count): site's issues with new ones of the architecture category instead of old ones, by severity; within one,
+    site's by category and code come first, then architecture's by code. At most one row for each rule, so one task orders them."""
+    rules = F.broadcast(rule_table(site.sparkSession).select("code", "category", "severity"))
+    old = site.select("code", "count").join(rules, "code").where("category <> 'architecture'").join(architecture.select("code"), "code", "left_anti")
+    new = architecture.select("code", "count").join(rules, "code")
+    rows = old.withColumn("turn", F.lit(0)).unionByName(new.withColumn("turn", F.lit(1)))
+    order = Window.orderBy(severity_rank(F.col("severity")), "turn", F.when(F.col("turn") == 0, F.col("category")), "code")
+    return rows.select(F.row_number().over(order).alias("rn"), "code", "severity", "count")
+
+
 def issue_examples(issues: DataFrame, key: str = "page_id", most: int = EXAMPLES) -> DataFrame:
     """(code, rn, key): the first pages of each code."""
     place = F.row_number().over(Window.partitionBy("code").orderBy(key))
     return issues.select("code", key, place.alias("rn")).where(F.col("rn") <= most)
 
 
-def findings(site: DataFrame, causes: DataFrame, rollup: DataFrame, folded: bool = False) -> DataFrame:
-    """(level, code, severity, affected, share_of, recommendation): one list of what to do, most severe and most frequent first.
+def findings(site: DataFrame, causes: DataFrame, rollup: DataFrame, pages: int | None = None, recorded: int | None = None) -> DataFrame:
+    """One list of what to do, most severe and most frequent first: code, root_cause, level, category, severity, affected, affected_unit,
+    denominator, percentage, evidence, examples, drilldown, recommendation.
 
-    share_of says what affected is a share of. site(code, severity, affected), causes(root_cause, affected) and rollup(code, severity, independent_n). With
-    `folded`, the site's issue about canonicals to non-indexable targets is part of a root cause already.
+    site(code, severity, affected[, statuses, examples]), causes(root_cause, affected[, detections, examples]) and rollup(code, severity,
+    independent_n[, n, explained, examples]). percentage is affected in percent of `pages` or `recorded` URLs, null where the count is of links or of the site
+    as a whole, or that number is not given. evidence is JSON. A site issue about canonicals that cannot be used is left out where a
+    root cause says the same: statuses, the canonical states of its pages, are private hosts alone. The cause then carries it as evidence.
     """
-    own = site.where("code <> 'CANONICAL_TO_NON_INDEXABLE'") if folded else site
+    site, causes, rollup = (_filled(*x) for x in ((site, _SITE_MORE), (causes, _CAUSE_MORE), (rollup, _ROLLUP_MORE)))
     severity = F.create_map(*(F.lit(x) for pair in ROOT_CAUSES.items() for x in pair))
+    # At most one row each: a cause and an issue of that name.
+    cause = causes.where("root_cause = 'PRIVATE_BASE_URL_CONFIGURATION'").select(F.lit("CANONICAL_TO_NON_INDEXABLE").alias("code"), F.lit(True).alias("caused"))
+    private = F.array_distinct("statuses") == F.array(F.lit("private_host"))
+    site = site.join(F.broadcast(cause), "code", "left").withColumn("folded", F.coalesce(F.col("caused") & private, F.lit(False)))
+    folded = site.where("folded").select(F.lit("PRIVATE_BASE_URL_CONFIGURATION").alias("root_cause"), F.struct("code", F.col("affected").cast("long").alias("count")).alias("site_level"))
+    causes = causes.join(F.broadcast(folded), "root_cause", "left")
+    none, long = F.lit(None).cast("string"), lambda c: F.col(c).cast("long").alias("affected")
     parts = [
-        own.select(F.lit("site").alias("level"), "code", "severity", F.col("affected").cast("long").alias("affected")),
+        site.where("not folded").select(
+            "code", none.alias("root_cause"), F.lit("site").alias("level"), "severity", long("affected"),
+            F.to_json(F.struct("statuses")).alias("evidence"), "examples", F.lit("issues").alias("drilldown"),
+        ),
         causes.select(
-            F.lit("page_root_cause").alias("level"), F.col("root_cause").alias("code"), severity[F.col("root_cause")].alias("severity"),
-            F.col("affected").cast("long").alias("affected"),
+            F.col("root_cause").alias("code"), "root_cause", F.lit("page_root_cause").alias("level"), severity[F.col("root_cause")].alias("severity"),
+            long("affected"), F.to_json(F.struct("detections", "site_level")).alias("evidence"), "examples",
+            drilldown(F.element_at(F.map_keys("detections"), 1)).alias("drilldown"),
         ),
         rollup.where("independent_n > 0").select(
-            F.lit("page").alias("level"), "code", "severity", F.col("independent_n").cast("long").alias("affected")
+            "code", none.alias("root_cause"), F.lit("page").alias("level"), "severity", long("independent_n"),
+            F.to_json(F.struct(F.col("n").alias("detections"), "explained")).alias("evidence"), "examples",
+            F.when(F.col("code").isin(*(c for c, *_ in PAGE_RULES)), drilldown(F.col("code"))).alias("drilldown"),
         ),
     ]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    of = F.create_map(*(F.lit(x) for code, *_ in PAGE_RULES + SITE_RULES for x in (code, denominator(code))))
-    out = out.withColumn("share_of", F.coalesce(of[F.col("code")], F.lit("html_pages_ok"))).withColumn("recommendation", advice(F.col("code")))
+    look = lambda f: F.create_map(*(F.lit(x) for code, *_ in PAGE_RULES + SITE_RULES for x in (code, f(code))))[F.col("code")]
+    of = F.when(F.col("level") == "site", F.coalesce(look(denominator), F.lit(PAGES))).otherwise(PAGES)
+    unit = F.when(F.col("level") != "site", "pages").when(of == "site", "site check").when(of == "links", "links").otherwise("URLs")
+    base = F.when(of == PAGES, F.lit(pages)).when(of == RECORDED, F.lit(recorded)).cast("long")
+    out = out.withColumns(
+        {
+            "category": F.coalesce(look(category_of), F.lit("root_cause")), "affected_unit": unit,
+            "denominator": F.when(~of.isin("site", "links"), of), "percentage": share(F.col("affected"), base),
+            "examples": F.slice("examples", 1, EXAMPLES), "recommendation": advice(F.col("code")),
+        }
+    )
     return out.orderBy(severity_rank(F.col("severity")), F.desc("affected"), "level", "code")
 
 
+_SITE_MORE = {"statuses": "array<string>", "examples": "array<string>"}
+_CAUSE_MORE = {"detections": "map<string, bigint>", "examples": "array<string>"}
+_ROLLUP_MORE = {"n": "bigint", "explained": "map<string, bigint>", "examples": "array<string>"}
+
+
+def _filled(rows: DataFrame, more: dict[str, str]) -> DataFrame:
+    return rows.withColumns({c: F.lit(None).cast(kind) for c, kind in more.items() if c not in rows.columns})
+
+
 #: What a finding's count is a share of, by code and else by category.
+PAGES, RECORDED = "counts.html_pages_ok", "counts.recorded_urls"
 DENOMINATORS = {
     "BROKEN_INTERNAL_LINKS": "links", "BROKEN_RESOURCE_LINKS": "links", "REDIRECTED_INTERNAL_LINKS": "links",
-    "BROKEN_PAGES": "recorded_urls", "ROBOTS_BLOCKED_PAGES": "recorded_urls", "sitemap": "site", "robots": "site",
+    "BROKEN_PAGES": RECORDED, "ROBOTS_BLOCKED_PAGES": RECORDED, "sitemap": "site", "robots": "site",
 }
 
 
 def denominator(code: str) -> str:
-    return DENOMINATORS.get(code) or DENOMINATORS.get(category_of(code)) or "html_pages_ok"
+    return DENOMINATORS.get(code) or DENOMINATORS.get(category_of(code)) or PAGES

@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from weblens.functions import text as T
 from weblens.functions import urls as U
+from weblens.operators.rules import category_of
 
-STATES = ("crawlable", "fetchable", "renderable", "indexable", "canonical")
+STATES = ("discovered", "crawlable", "fetchable", "renderable", "indexable", "canonical")
 #: Examples that a site issue lists.
 EXAMPLES = 20
 
@@ -60,7 +61,7 @@ def page_states(pages: DataFrame, targets: DataFrame | None = None) -> DataFrame
         .when(meta, "noindex_meta")
         .otherwise("indexable")
     )
-    rows = pages.withColumn("kind", kind).withColumn("crawlable", F.when(blocked, no).otherwise(yes))
+    rows = pages.withColumn("kind", kind).withColumn("discovered", yes).withColumn("crawlable", F.when(blocked, no).otherwise(yes))
     rows = rows.withColumn("fetchable", fetchable).withColumn("renderable", renderable)
     rows = rows.withColumn("indexable", indexable).withColumn("index_reason", reason)
     if targets is None:
@@ -139,9 +140,16 @@ _SITE_TESTS = {
 }
 
 
-def site_issues(states: DataFrame) -> DataFrame:
-    """(code, count, examples) of the page-derived site rules, in one pass; only codes that fire."""
-    fired = F.array_compact(F.array(*(F.when(F.expr(test), F.lit(code)) for code, test in _SITE_TESTS.items())))
+#: Says something only where every sitemap file was read.
+_COMPLETE_TESTS = {"PAGES_MISSING_FROM_SITEMAP": "not in_sitemap and crawl_status = 'ok' and indexable and canonical"}
+
+
+def site_issues(states: DataFrame, use_sitemaps: bool = True, sitemap_complete: bool = False) -> DataFrame:
+    """(code, count, examples) of the page-derived site rules, in one pass; only codes that fire. Without use_sitemaps, none is about
+    sitemaps; pages that no sitemap lists are an issue only with sitemap_complete."""
+    tests = _SITE_TESTS | (_COMPLETE_TESTS if sitemap_complete else {})
+    tests = {code: test for code, test in tests.items() if use_sitemaps or category_of(code) != "sitemap"}
+    fired = F.array_compact(F.array(*(F.when(F.expr(test), F.lit(code)) for code, test in tests.items())))
     rows = states.select("url", F.explode(fired).alias("code"))
     examples = F.slice(F.array_sort(F.collect_list("url")), 1, EXAMPLES)
     ranked = rows.groupBy("code").agg(F.count("*").alias("count"))
@@ -149,6 +157,26 @@ def site_issues(states: DataFrame) -> DataFrame:
     return ranked.join(few.groupBy("code").agg(examples.alias("examples")), "code")
 
 
+#: Canonical targets that search engines cannot use.
+DEFECTS = ("private_host", "target_not_indexable", "invalid")
+
+
+def canonical_defects(states: DataFrame) -> DataFrame:
+    """(canonical_status, n, still_indexable): pages whose canonical cannot be used, and those of them that could be indexed."""
+    fine = F.count(F.when(F.col("indexable") == F.lit(True), 1))
+    return states.where(F.col("canonical_status").isin(*DEFECTS)).groupBy("canonical_status").agg(F.count("*").alias("n"), fine.alias("still_indexable"))
+
+
+def recorded_urls(states: DataFrame) -> DataFrame:
+    """One row: recorded_urls, html_pages_ok, broken_urls."""
+    rows = states.select(bucket().alias("bucket"))
+    broken = F.col("bucket").isin("html_error_pages", "assets_broken", "failed_requests")
+    return rows.agg(
+        F.count("*").alias("recorded_urls"), F.count(F.when(F.col("bucket") == "html_pages_ok", 1)).alias("html_pages_ok"),
+        F.count(F.when(broken, 1)).alias("broken_urls"),
+    )
+
+
 def sitemap_issue(status: Column, robots_status: Column, robots_sitemaps: Column, duplicates: Column, urls: Column, complete: Column) -> Column:
     """Codes that a site's robots.txt and sitemap files give, as an array."""
     return F.array_compact(

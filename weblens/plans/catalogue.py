@@ -634,16 +634,163 @@ def root_cause_rollup(spark, sf):
     return rollup.root_cause_rollup(rollup.root_causes(_detections(spark), "url", F.col("rendered")))
 
 
-@_query(_audit_sql("""SELECT 'page' AS level, code, severity, count(*) AS affected FROM rated GROUP BY code, severity
-UNION ALL SELECT 'page_root_cause', 'PRIVATE_BASE_URL_CONFIGURATION', 'critical', 2
-UNION ALL SELECT 'page_root_cause', 'ROUTE_HEAD_METADATA_MISSING', 'warning', 1
-UNION ALL SELECT 'site', code, severity, n FROM (VALUES ('BROKEN_PAGES', 'warning', 3), ('SITEMAP_NOT_FOUND', 'warning', 1)) v(code, severity, n)"""))
+#: Of the derived site, pages with an even id were rendered, so that a missing head explains what they lack.
+_SQL_FINDINGS = """,
+causes AS (SELECT page_id, code FROM issues WHERE page_id % 2 = 0 AND code IN ('CANONICAL_MISSING', 'META_DESCRIPTION_MISSING', 'OG_TITLE_MISSING', 'OG_DESCRIPTION_MISSING')),
+of_site AS (
+  SELECT 'BROKEN_PAGES' AS code, 'indexability' AS category, 'warning' AS severity, count(*) AS affected FROM full_states WHERE NOT fetchable AND kind = 'document' HAVING count(*) > 0
+  UNION ALL SELECT 'NOINDEX_PAGES', 'indexability', 'info', count(*) FROM full_states WHERE renderable AND NOT indexable HAVING count(*) > 0
+  UNION ALL SELECT 'ROBOTS_BLOCKED_PAGES', 'indexability', 'info', count(*) FROM full_states WHERE NOT crawlable HAVING count(*) > 0
+  UNION ALL SELECT 'CANONICAL_TO_NON_INDEXABLE', 'indexability', 'critical', count(*) FROM full_states WHERE canonical_status IN ('private_host', 'target_not_indexable', 'invalid') HAVING count(*) > 0
+  UNION ALL SELECT 'CANONICALIZED_PAGES', 'indexability', 'info', count(*) FROM full_states WHERE NOT canonical AND canonical_status NOT IN ('private_host', 'target_not_indexable', 'invalid') HAVING count(*) > 0
+  UNION ALL SELECT 'REDIRECTED_INTERNAL_LINKS', 'architecture', 'warning', count(*) FROM links l JOIN site s ON l.dst = s.key WHERE l.src <> l.dst AND s.crawl_status = 'redirect' HAVING count(*) > 0
+  UNION ALL SELECT 'BROKEN_INTERNAL_LINKS', 'architecture', 'critical', count(*) FROM links l JOIN site s ON l.dst = s.key WHERE l.src <> l.dst AND (s.crawl_status = 'error' OR s.status_code >= 400) HAVING count(*) > 0),
+total AS (SELECT count(*) AS t FROM pages)
+SELECT code, NULL AS root_cause, 'site' AS level, category, severity, affected, CASE WHEN code LIKE '%LINKS' THEN 'links' ELSE 'URLs' END AS affected_unit,
+  CASE WHEN code LIKE '%LINKS' THEN NULL WHEN code IN ('BROKEN_PAGES', 'ROBOTS_BLOCKED_PAGES') THEN 'counts.recorded_urls' ELSE 'counts.html_pages_ok' END AS denominator,
+  CASE WHEN code NOT LIKE '%LINKS' THEN round(100.0 * affected / t, 2)::DOUBLE END AS percentage, 'issues' AS drilldown FROM of_site, total
+UNION ALL SELECT 'ROUTE_HEAD_METADATA_MISSING', 'ROUTE_HEAD_METADATA_MISSING', 'page_root_cause', 'root_cause', 'warning', count(DISTINCT page_id), 'pages', 'counts.html_pages_ok',
+  round(100.0 * count(DISTINCT page_id) / any_value(t), 2)::DOUBLE, 'pages?issue=' || min(code) || '&include_audit=true' FROM causes, total HAVING count(*) > 0
+UNION ALL SELECT r.code, NULL, 'page', r.category, r.severity, count(*), 'pages', 'counts.html_pages_ok', round(100.0 * count(*) / any_value(t), 2)::DOUBLE,
+  'pages?issue=' || r.code || '&include_audit=true' FROM rated r ANTI JOIN causes c USING (page_id, code), total GROUP BY r.code, r.category, r.severity"""
+_FINDINGS = ("code", "root_cause", "level", "category", "severity", "affected", "affected_unit", "denominator", "percentage", "drilldown")
+
+
+@_query(_audit_sql("SELECT 1").removesuffix("\nSELECT 1") + ", " + S.SQL.strip() + _SQL_FINDINGS)
 def findings_union(spark, sf):
     source = S.pages_table(spark, sf)
+    total = source.count()
     issues = audit.issue_rows(audit.audit_pages(pages.parse_pages(source)), "page_id")
-    site_level = spark.createDataFrame(
-        [("BROKEN_PAGES", "warning", 3), ("SITEMAP_NOT_FOUND", "warning", 1), ("CANONICAL_TO_NON_INDEXABLE", "critical", 2)],
-        "code string, severity string, affected int",
-    )
-    causes = rollup.root_causes(_detections(spark), "url", F.col("rendered")).groupBy("root_cause").agg(F.countDistinct("url").alias("affected"))
-    return rollup.findings(site_level, causes, rollup.issue_rollup(issues, source.count()), folded=True).select("level", "code", "severity", "affected")
+    causes = rollup.root_causes(issues, "page_id", F.col("page_id") % 2 == 0)
+    site, links = S.site(spark, sf), S.links(spark, sf)
+    of_pages = states.site_issues(page_state_rows(spark, sf), use_sitemaps=False)
+    of_links = graph.architecture_issues(site, links, site.limit(0).select("key", F.array().cast("array<string>").alias("flags")))
+    of_site = rollup.merge_site_issues(of_pages, of_links).withColumnRenamed("count", "affected")
+    listed = rollup.findings(of_site, rollup.root_cause_summary(causes, total), rollup.issue_rollup(issues, total, causes), total, total)
+    return listed.select(*_FINDINGS)
+
+
+@_query(_audit_sql("""SELECT 'ROUTE_HEAD_METADATA_MISSING' AS root_cause, code, count(*) AS n FROM issues
+  WHERE page_id % 2 = 0 AND code IN ('CANONICAL_MISSING', 'META_DESCRIPTION_MISSING', 'OG_TITLE_MISSING', 'OG_DESCRIPTION_MISSING') GROUP BY code"""))
+def root_cause_detections(spark, sf):
+    issues = audit.issue_rows(audited(spark, sf), "page_id")
+    causes = rollup.root_cause_summary(rollup.root_causes(issues, "page_id", F.col("page_id") % 2 == 0), 1)
+    return causes.select("root_cause", F.explode("detections").alias("code", "n"))
+
+
+# --- More of the site's relations
+
+
+@_query(_with("""SELECT canonical_status, count(*) AS n, count(*) FILTER (indexable) AS still_indexable FROM full_states
+  WHERE canonical_status IN ('private_host', 'target_not_indexable', 'invalid') GROUP BY 1"""))
+def canonical_defects(spark, sf):
+    return states.canonical_defects(page_state_rows(spark, sf))
+
+
+@_query(_with("""SELECT count(*) AS recorded_urls, count(*) FILTER (crawl_status = 'ok' AND coalesce(status_code, 0) < 400) AS html_pages_ok,
+  count(*) FILTER (crawl_status = 'error' OR status_code >= 400) AS broken_urls FROM site"""))
+def recorded_urls(spark, sf):
+    return states.recorded_urls(S.site(spark, sf))
+
+
+@_query(_with("SELECT 'PAGES_MISSING_FROM_SITEMAP' AS code, count(*) AS n FROM full_states WHERE crawl_status = 'ok' AND indexable AND canonical AND NOT in_sitemap HAVING count(*) > 0"))
+def complete_sitemap_issues(spark, sf):
+    rows = page_state_rows(spark, sf)
+    whole, none = states.site_issues(rows, sitemap_complete=True), states.site_issues(rows)
+    return whole.join(none, "code", "left_anti").select("code", F.col("count").alias("n"))
+
+
+@_query(_with("""SELECT 'BROKEN_INTERNAL_LINKS' AS code, count(*) AS links, count(DISTINCT l.dst) AS targets FROM links l JOIN site s ON l.dst = s.key
+  WHERE l.src <> l.dst AND (s.crawl_status = 'error' OR s.status_code >= 400) HAVING count(*) > 0"""))
+def broken_targets(spark, sf):
+    return graph.broken_targets(S.site(spark, sf), S.links(spark, sf))
+
+
+@_query(_with("""SELECT (SELECT count(*) FROM in_out) AS pages, (SELECT round(avg(unique_in), 1) FROM in_out) AS avg_unique_in, (SELECT max(depth) FROM live)::INT AS max_depth,
+  (SELECT count(*) FROM followed) AS followed_links"""))
+def graph_summary(spark, sf):
+    return graph.graph_summary(S.site(spark, sf), S.links(spark, sf))
+
+
+@_query(_with("""SELECT row_number() OVER (ORDER BY depth NULLS LAST)::INT AS rn, coalesce(depth::VARCHAR, 'sitemap_only') AS depth_key, n
+  FROM (SELECT depth, count(*) AS n FROM live GROUP BY depth)"""))
+def depth_order(spark, sf):
+    return graph.ordered_depths(graph.depth_distribution(S.site(spark, sf)))
+
+
+@_query(_with("SELECT key AS page_id FROM live WHERE kind = 'document' AND key % 7 <> 0"))
+def audited_documents(spark, sf):
+    rows = S.site(spark, sf).withColumn("audit", F.when(F.col("key") % 7 != 0, "{}"))
+    return rollup.audited_documents(rows).select(F.col("key").alias("page_id"))
+
+
+_SITE_ORDER = """SELECT row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END, turn, CASE turn WHEN 0 THEN category END, code)::INT AS rn, code FROM (
+  SELECT 0 AS turn, code, category, severity FROM (VALUES ('BROKEN_PAGES', 'indexability', 'warning', (SELECT count(*) FROM full_states WHERE NOT fetchable AND kind = 'document')),
+    ('NOINDEX_PAGES', 'indexability', 'info', (SELECT count(*) FROM full_states WHERE renderable AND NOT indexable)),
+    ('ROBOTS_BLOCKED_PAGES', 'indexability', 'info', (SELECT count(*) FROM full_states WHERE NOT crawlable)),
+    ('CANONICAL_TO_NON_INDEXABLE', 'indexability', 'critical', (SELECT count(*) FROM full_states WHERE canonical_status IN ('private_host', 'target_not_indexable', 'invalid'))),
+    ('CANONICALIZED_PAGES', 'indexability', 'info', (SELECT count(*) FROM full_states WHERE NOT canonical AND canonical_status NOT IN ('private_host', 'target_not_indexable', 'invalid'))),
+    ('SITEMAP_URL_NON_200', 'sitemap', 'warning', (SELECT count(*) FROM full_states WHERE in_sitemap AND (crawl_status = 'error' OR status_code >= 400))),
+    ('SITEMAP_URL_REDIRECT', 'sitemap', 'warning', (SELECT count(*) FROM full_states WHERE in_sitemap AND crawl_status = 'redirect')),
+    ('SITEMAP_URL_BLOCKED', 'sitemap', 'warning', (SELECT count(*) FROM full_states WHERE in_sitemap AND crawl_status = 'blocked_robots')),
+    ('SITEMAP_URL_NOINDEX', 'sitemap', 'warning', (SELECT count(*) FROM full_states WHERE in_sitemap AND renderable AND NOT indexable)),
+    ('SITEMAP_URL_CANONICALIZED', 'sitemap', 'warning', (SELECT count(*) FROM full_states WHERE in_sitemap AND NOT canonical))) v(code, category, severity, n) WHERE n > 0
+  UNION ALL SELECT 1, code, 'architecture', severity FROM (VALUES
+    ('BROKEN_INTERNAL_LINKS', 'critical', (SELECT count(*) FROM links l JOIN site s ON l.dst = s.key WHERE l.src <> l.dst AND (s.crawl_status = 'error' OR s.status_code >= 400))),
+    ('REDIRECTED_INTERNAL_LINKS', 'warning', (SELECT count(*) FROM links l JOIN site s ON l.dst = s.key WHERE l.src <> l.dst AND s.crawl_status = 'redirect'))) v(code, severity, n) WHERE n > 0)"""
+
+
+@_query(_with(_SITE_ORDER))
+def site_issue_order(spark, sf):
+    site, links = S.site(spark, sf), S.links(spark, sf)
+    of_links = graph.architecture_issues(site, links, site.limit(0).select("key", F.array().cast("array<string>").alias("flags")))
+    return rollup.merge_site_issues(states.site_issues(page_state_rows(spark, sf)), of_links).select("rn", "code")
+
+
+# --- Crawl replay over the derived site, whose pages have URLs of their own here
+
+_CRAWL_SITE = "https://site.test/p/"
+_CRAWL_OPTIONS = crawl.CrawlOptions(max_pages=10**9, max_depth=3, exclude_patterns=("77$",))
+_SQL_CRAWL = """,
+hops AS (
+  SELECT l.src, l.dst, 1 AS step FROM links l JOIN live s ON l.src = s.key WHERE NOT l.nofollow AND s.meta_robots IS DISTINCT FROM 'none' AND l.dst % 100 <> 77
+  UNION ALL SELECT key, redirect_to, 0 FROM moves),
+reach AS (SELECT 5::BIGINT AS key, 0 AS depth UNION SELECT h.dst, r.depth + h.step FROM reach r JOIN hops h ON r.key = h.src WHERE r.depth + h.step <= 3),
+clicks AS (SELECT key, min(depth) AS depth FROM reach GROUP BY key),
+late AS (SELECT key FROM site WHERE in_sitemap AND key % 100 <> 77 AND key NOT IN (SELECT key FROM clicks)
+  UNION SELECT h.dst FROM late r JOIN hops h ON r.key = h.src WHERE h.dst NOT IN (SELECT key FROM clicks)),
+crawled AS (SELECT key, depth FROM clicks UNION ALL SELECT key, NULL FROM late)"""
+
+
+def _crawl(spark: SparkSession, sf: str) -> crawl.Crawl:
+    address = lambda c: F.concat(F.lit(_CRAWL_SITE), F.col(c).cast("string"))
+    site = S.site(spark, sf)
+    fetches = site.select(
+        address("key").alias("key"), address("key").alias("url"), "status_code", "content_type", address("redirect_to").alias("redirect_to"),
+        F.coalesce(F.col("meta_robots") == "none", F.lit(False)).alias("nofollow"),
+    )
+    pos = F.expr("case location when 'nav' then 1 when 'main' then 2 else 3 end")
+    links = S.links(spark, sf).select(address("src").alias("src"), address("dst").alias("dst"), address("dst").alias("url"), pos.alias("pos"), "nofollow")
+    listed = site.where("in_sitemap").select(address("key").alias("key"), address("key").alias("url"))
+    blocked = site.where("crawl_status = 'blocked_robots'").select(address("key").alias("key"))
+    return crawl.run_crawl(fetches, links, f"{_CRAWL_SITE}{S.ROOT}", _CRAWL_OPTIONS, listed, blocked)
+
+
+def _recursive(rows: str) -> str:
+    return "WITH RECURSIVE " + S.SQL.strip() + _SQL_CRAWL + "\n" + rows
+
+
+@_query(_recursive("SELECT key AS page_id, c.depth::INT AS depth, s.crawl_status, s.in_sitemap FROM crawled c JOIN site s USING (key)"))
+def crawl_replay(spark, sf):
+    key = F.substring_index("key", "/", -1).cast("long")
+    return _crawl(spark, sf).pages.select(key.alias("page_id"), "depth", "crawl_status", "in_sitemap")
+
+
+@_query(_recursive("""SELECT count(*) AS discovered_urls, count(*) FILTER (s.crawl_status = 'ok') AS crawled_ok, count(*) FILTER (s.crawl_status = 'redirect') AS redirects,
+  count(*) FILTER (s.crawl_status = 'non_html') AS non_html, count(*) FILTER (s.crawl_status = 'error') AS failed, count(*) FILTER (s.crawl_status = 'blocked_robots') AS blocked_by_robots,
+  (SELECT count(*) FROM hops h JOIN clicks c ON h.src = c.key WHERE h.step = 1 AND c.depth = 3 AND h.dst NOT IN (SELECT key FROM clicks)) AS skipped_depth,
+  (SELECT count(*) FROM links l JOIN live v ON l.src = v.key JOIN crawled c ON l.src = c.key WHERE NOT l.nofollow AND v.meta_robots IS DISTINCT FROM 'none' AND l.dst % 100 = 77)
+    + (SELECT count(*) FROM site WHERE in_sitemap AND key % 100 = 77) AS skipped_pattern,
+  0 AS skipped_max_pages, (SELECT count(*) FROM site WHERE in_sitemap) AS sitemap_urls FROM crawled c JOIN site s USING (key)"""))
+def crawl_diagnostics(spark, sf):
+    return crawl.diagnostics(_crawl(spark, sf))

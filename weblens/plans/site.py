@@ -103,7 +103,7 @@ in_out AS (
   LEFT JOIN (SELECT src, count(DISTINCT dst) AS n FROM edges GROUP BY src) o ON l.key = o.src),
 states AS (
   SELECT s.key, s.url, s.crawl_status, s.status_code, s.kind, s.depth, s.via, s.in_sitemap, s.canonical_key,
-    s.crawl_status <> 'blocked_robots' AS crawlable,
+    true AS discovered, s.crawl_status <> 'blocked_robots' AS crawlable,
     CASE WHEN crawl_status = 'blocked_robots' THEN NULL WHEN crawl_status = 'error' OR status_code >= 400 THEN false ELSE true END AS fetchable,
     CASE WHEN crawl_status <> 'ok' OR kind <> 'document' OR status_code >= 400 THEN NULL ELSE true END AS renderable,
     CASE WHEN crawl_status = 'blocked_robots' THEN false WHEN kind <> 'document' THEN NULL
