@@ -148,3 +148,32 @@ def test_registered_queries_on_held_out_rows(spark, name, label, least):
         want = spark.read.parquet(f"{folder}/documents.parquet").where("lang is not null").select("doc_id", "lang")
         both = [r[0] == r[1] for r in got.join(want, "doc_id").select("lang_pred", "lang").collect()]
     assert len(both) > 100 and np.mean(both) >= least
+
+
+def test_many_short_lines_take_little_memory():
+    import tracemalloc
+
+    model = quality.fit([("a b c.", 1), ("### ###", 0)])
+    for texts in (["a\n" * 700] * 200, ["\n" * 140_000]):
+        tracemalloc.start()
+        scores = model.scores(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(scores) == len(texts) and (scores == scores[0]).all() and peak < 300 * 140_000
+
+
+def test_quality_does_not_depend_on_blocks(monkeypatch):
+    rng = random.Random(4)
+    rows = [(junk(rng, y), int(y)) for y in [True, False] * 30]
+    texts = [t for t, _ in rows] + ["", "\n\n", "x" * 2000, "one\r\ntwo\x85\nthree \ud800.\n" * 40]
+    model = quality.fit(rows)
+    want = model.scores(texts)
+    own = np.concatenate([quality._bins(quality.block_figures(lines)[0], model.edges) for lines in quality.line_blocks(texts)])
+    lengths = quality.line_counts(texts)
+    assert len(own) == lengths.sum()
+    each = model.chain.weights[quality._features(own, lengths)].sum(axis=1)
+    assert np.allclose(quality._line_scores(own, lengths, model.chain.weights), each)
+    for name, most in (("LINES", 3), ("CHARS", 50), ("GROUP_LINES", 7)):
+        monkeypatch.setattr(quality, name, most)
+        assert max(map(len, quality.line_blocks(texts))) <= quality.LINES
+        assert np.allclose(model.scores(texts), want, rtol=1e-12) and np.allclose(quality.fit(rows).edges, model.edges)

@@ -7,6 +7,7 @@ weighted by line length give the document's quality, calibrated on the training
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,8 @@ from weblens.llm.common import held_out, map_rows, text_test, training_texts
 #: Labelled documents that the model learns from at most, chosen by a hash of their ids.
 TRAINING_DOCUMENTS = 3000
 BINS = 8
+#: Lines and characters whose words and figures are held at a time, and lines whose labels are.
+LINES, CHARS, GROUP_LINES = 1 << 13, 500_000, 1 << 16
 
 #: Byte classes: 1 lower, 2 upper, 3 digit, 4 blank, 5 sentence mark, 6 other sign, 7 first byte of a
 #: non-ASCII character, 0 its other bytes.
@@ -32,16 +35,30 @@ _CLASS[0x80:0xC0] = 0
 _CLASS[0xC0:] = 7
 
 
-def line_figures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(figures of each line, characters of each line, lines of each text). An empty text is one empty line."""
-    joined = "\n".join(texts)
-    lines = joined.split("\n")
-    data = np.frombuffer(joined.encode("utf-8", "replace"), dtype=np.uint8)
+def line_blocks(texts: list[str]) -> Iterator[list[str]]:
+    """The lines of all texts in their order, in blocks that LINES and CHARS bound unless one line alone is longer. An empty text is one empty line."""
+    held, chars = [], 0
+    for text in texts:
+        for line in text.split("\n"):
+            if held and (len(held) >= LINES or chars + len(line) > CHARS):
+                yield held
+                held, chars = [], 0
+            held.append(line)
+            chars += len(line) + 1
+    if held:
+        yield held
+
+
+def block_figures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(figures of each line, characters of each line)."""
+    data = np.frombuffer("\n".join(lines).encode("utf-8", "replace"), dtype=np.uint8)
     ends = np.append(np.flatnonzero(data == 10), len(data))
     begins = np.concatenate([[0], ends[:-1] + 1])
     kinds = _CLASS[data]
 
     def count(k: int) -> np.ndarray:
+        if len(lines) == 1:  # it may be very long
+            return np.array([np.count_nonzero(kinds == k)], dtype=float)
         total = np.concatenate([[0], np.cumsum(kinds == k, dtype=np.int64)])
         return (total[ends] - total[begins]).astype(float)
 
@@ -69,19 +86,42 @@ def line_figures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             ends_well,
         ]
     )
-    return figures, chars, np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
+    return figures, chars
+
+
+def line_counts(texts: list[str]) -> np.ndarray:
+    return np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
+
+
+def _bins(figures: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The bin of each figure, (lines, figures)."""
+    return np.stack([np.searchsorted(edges[j], figures[:, j], side="right") for j in range(figures.shape[1])], axis=1).astype(np.uint8)
+
+
+def _around(own: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Bins of the lines themselves, of the previous lines and of the next ones."""
+    yield own
+    for step, none in ((1, np.cumsum(lengths) - lengths), (-1, np.cumsum(lengths) - 1)):
+        other = np.roll(own, step, axis=0)
+        other[none] = BINS  # no such line
+        yield other
+
+
+def _features(own: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Feature ids of each line, (lines, 3 * figures)."""
+    k, width = own.shape[1], BINS + 1
+    return np.concatenate([bins + np.arange(i * k, i * k + k) * width for i, bins in enumerate(_around(own, lengths))], axis=1)
 
 
-def _features(figures: np.ndarray, lengths: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Feature ids of each line, (lines, 3 * figures): its own, the previous line's and the next one's."""
-    n, k = figures.shape
-    own = np.stack([np.searchsorted(edges[j], figures[:, j], side="right") for j in range(k)], axis=1)
-    first, last = np.cumsum(lengths) - lengths, np.cumsum(lengths) - 1
-    before, after = np.roll(own, 1, axis=0), np.roll(own, -1, axis=0)
-    before[first], after[last] = BINS, BINS  # no such line
-    width = BINS + 1
-    base = np.arange(k) * width
-    return np.concatenate([own + base, before + base + k * width, after + base + 2 * k * width], axis=1)
+def _line_scores(own: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Summed weights of each line's features, one feature of all lines at a time: no line's features are ever held together."""
+    k = own.shape[1]
+    tables = weights.reshape(3, k, BINS + 1, weights.shape[1])
+    scores = np.zeros((len(own), weights.shape[1]))
+    for table, bins in zip(tables, _around(own, lengths), strict=True):
+        for j in range(k):
+            scores += table[j][bins[:, j]]
+    return scores
 
 
 @dataclass
@@ -93,13 +133,27 @@ class QualityModel:
 
     def line_marginals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(P(good) of each line, characters of each line, lines of each text)."""
-        figures, chars, lengths = line_figures(texts)
-        ids = _features(figures, lengths, self.edges)
-        scores = self.chain.weights[ids].sum(axis=1)
+        own, chars = [], []
+        for lines in line_blocks(texts):
+            figures, n = block_figures(lines)
+            own.append(_bins(figures, self.edges))
+            chars.append(n)
+        lengths = line_counts(texts)
+        scores = _line_scores(np.concatenate(own), lengths, self.chain.weights)
         good, _, _ = crf.marginals(scores, lengths, self.chain)
-        return good[:, 1], chars, lengths
+        return good[:, 1], np.concatenate(chars), lengths
 
     def raw(self, texts: list[str]) -> np.ndarray:
+        """Log odds of each text, from groups of texts that GROUP_LINES bounds unless one text alone has more lines."""
+        out, start, held = [], 0, 0
+        for i, n in enumerate(line_counts(texts).tolist()):
+            if i > start and held + n > GROUP_LINES:
+                out.append(self._raw(texts[start:i]))
+                start, held = i, 0
+            held += n
+        return np.concatenate([*out, self._raw(texts[start:])])
+
+    def _raw(self, texts: list[str]) -> np.ndarray:
         good, chars, lengths = self.line_marginals(texts)
         at = np.cumsum(lengths) - lengths
         mean = np.add.reduceat(good * chars, at) / np.add.reduceat(chars, at)
@@ -117,10 +171,10 @@ def fit(sample: list[tuple[str, int]]) -> QualityModel:
     if not sample:
         sample = [("", 0), ("", 1)]
     texts, labels = [t for t, _ in sample], np.array([int(y) for _, y in sample])
-    figures, _, lengths = line_figures(texts)
+    figures, lengths = np.concatenate([block_figures(lines)[0] for lines in line_blocks(texts)]), line_counts(texts)
     cuts = np.linspace(0, 1, BINS + 1)[1:-1]
     edges = np.quantile(figures, cuts, axis=0).T.copy()
-    ids = _features(figures, lengths, edges)
+    ids = _features(_bins(figures, edges), lengths)
     chain = crf.train(
         ids.ravel(),
         np.full(len(ids), ids.shape[1]),
