@@ -1,3 +1,4 @@
+import tempfile
 import time
 
 import pytest
@@ -175,3 +176,30 @@ def test_unclosed_tags_take_linear_time():
     began = time.time()
     assert tree("<p>x" + "<a " * 100_000).text().count("<a") == 99_999
     assert time.time() - began < 10
+
+
+def test_names_need_their_semicolon(spark):
+    """A title that was cut inside "&amp;" keeps what is left of it, as page_summary's SQL does."""
+    import duckdb
+    import pandas as pd
+
+    from weblens.plans.catalogue import ORACLES, QUERIES
+
+    source = '<html lang="en"><head><title>Ores and &amp;&amp</title></head><body><article><h1>Ores and &amp;&amp</h1><p>&copying; x &lt;b&gt;</p></article></body></html>'
+    table = pd.DataFrame([(1, URL, source), (2, URL, source.replace("&amp<", "&am<")), (3, URL, GOOD)], columns=["page_id", "url", "html"])
+    con = duckdb.connect()
+    con.register("pages", table)
+    want = con.execute(f"SELECT page_id, raw_title, title_length, word_count FROM ({ORACLES['page_summary']}) ORDER BY page_id").fetchall()
+    with tempfile.TemporaryDirectory() as folder:
+        spark.createDataFrame(table, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+        got = QUERIES["page_summary"](spark, folder).orderBy("page_id").select("page_id", "raw_title", "title_length", "word_count").collect()
+    assert [tuple(r) for r in got] == want and got[0]["raw_title"] == "Ores and &&amp"
+
+
+def test_masked_ampersands_come_back():
+    source = '<p title="a&copy=1&amp;b">x &ampx &#38; &eacute; &nosuch; &#x26</p><script>a&amp&&b</script><a&lt href="?a=1&lt">y'
+    root = tree(source)
+    assert root.text() == "x &ampx & é &nosuch; & y"
+    found = {e.tag: e for e in root.walk()}
+    assert found["p"].attrs["title"] == "a&copy=1&b" and found["script"].children == ["a&amp&&b"]
+    assert found["a&lt"].attrs["href"] == "?a=1&lt"
