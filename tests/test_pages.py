@@ -203,3 +203,21 @@ def test_masked_ampersands_come_back():
     found = {e.tag: e for e in root.walk()}
     assert found["p"].attrs["title"] == "a&copy=1&b" and found["script"].children == ["a&amp&&b"]
     assert found["a&lt"].attrs["href"] == "?a=1&lt"
+
+
+def test_a_cut_name_is_a_word(spark):
+    """What is left of a cut "&quot;" has letters, so word_count counts it, as its SQL does."""
+    import duckdb
+    import pandas as pd
+
+    from weblens.plans.catalogue import ORACLES, QUERIES
+
+    bodies = ["<h1>One &quot</h1><p>two &amp; three</p>", "<h1>One &quot;</h1><p>two &amp; three</p>"]
+    table = pd.DataFrame([(k, URL, html("", f"<article>{b}</article>")) for k, b in enumerate(bodies)], columns=["page_id", "url", "html"])
+    con = duckdb.connect()
+    con.register("pages", table)
+    want = con.execute(f"SELECT page_id, words FROM ({ORACLES['word_count']}) ORDER BY page_id").fetchall()
+    with tempfile.TemporaryDirectory() as folder:
+        spark.createDataFrame(table, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+        got = QUERIES["word_count"](spark, folder).orderBy("page_id").select("page_id", "words").collect()
+    assert [tuple(r) for r in got] == want == [(0, 4), (1, 3)]
